@@ -209,3 +209,21 @@ def _runs(hit: np.ndarray) -> list[list[int]]:
 def items_digest(items: list[str]) -> str:
     """Digest of item ids sorted as strings."""
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+def drop_contaminated(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    pass_bytes: int = PASS_BYTES,
+) -> DataFrame:
+    """The rows of ``documents`` that aren't contaminated, with their own columns."""
+    inner = [f"c{i}" for i in range(len(documents.columns))]
+    plain = documents.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(documents.columns, inner, strict=True)])
+    row = F.struct(*[F.col(n) for n in inner]).alias("row")
+    held = plain.select(row, F.col(inner[documents.columns.index(text_col)]).alias("text"))
+    out = decontaminate(held, benchmark, "row", "text", item_col, item_text_col, window, pass_bytes)
+    return out.where(~F.col("contaminated")).select(*[F.col(f"row.{n}").alias(c) for c, n in zip(documents.columns, inner, strict=True)])

@@ -16,18 +16,114 @@ def _tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftglass.llm.quality_rules import fit, quality_rules
+
+    documents = table(spark, sf_dir, "documents")
+    out = quality_rules(documents, fit(documents, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftglass.llm.line_dedup import host_of, html_lines, line_dedup
+
+    out = line_dedup(table(spark, sf_dir, "pages"), host_of(F.col("url")), html_lines(F.col("html")))
+    return out.select("page_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH base AS (
+  SELECT page_id, lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1), '')) AS host,
+    string_split(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '<[^>]*>', chr(10), 'g'), chr(10)) AS lines
+  FROM pages),
+seen AS (
+  SELECT host, line, count(*) AS n FROM (
+    SELECT host, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x)), lambda x: x <> ''))) AS line
+    FROM base WHERE host IS NOT NULL)
+  GROUP BY host, line),
+totals AS (SELECT host, count(*) AS total FROM base WHERE host IS NOT NULL GROUP BY host HAVING count(*) >= 5),
+common AS (SELECT host, list(line) AS common FROM seen JOIN totals USING (host) WHERE n > 0.2 * total GROUP BY host),
+cut AS (
+  SELECT page_id, lines, list_filter(lines, lambda x: NOT coalesce(list_contains(common, trim(x)), false)) AS kept
+  FROM base LEFT JOIN common USING (host))
+SELECT page_id, coalesce(len(list_filter(lines, lambda x: trim(x) <> '')), 0)::BIGINT AS n_lines,
+  coalesce(len(lines) - len(kept), 0)::BIGINT AS n_dropped, sha256(array_to_string(kept, chr(10))) AS kept_sha256
+FROM cut
+"""
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftglass.llm.quality_knn import classify, fit
+
+    documents = table(spark, sf_dir, "documents")
+    return classify(documents, fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftglass.llm.token_count import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), scratch_path(spark, "token_cache"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftglass.llm.suffix_dedup import suffix_dedup
+
+    out = suffix_dedup(table(spark, sf_dir, "documents"), digest=True)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.col("kept").alias("kept_sha256"))
+
+
 def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftglass.llm.bpe_automaton import encode_decode
 
     return encode_decode(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), digests=True)
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftglass.llm.chat_format import format_windows, read_back
+
+    trap = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(trap)
+    back = read_back(format_windows(conversations))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss", "")
+    return back.select(
+        "conv_id",
+        "n_turns",
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftglass.llm.substring_dedup import substring_dedup
+
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM words),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS x FROM starts),
+least AS (SELECT x, min(doc_id) AS first FROM windows GROUP BY x),
+hits AS (SELECT doc_id, i FROM windows JOIN least USING (x) WHERE first < doc_id),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS g FROM hits GROUP BY doc_id),
+cut AS (
+  SELECT doc_id, w, coalesce(len(g), 0) AS n_removed,
+    CASE WHEN g IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: NOT list_contains(g, p[2])), lambda p: p[1]) END AS kept
+  FROM words LEFT JOIN gone USING (doc_id))
+SELECT doc_id, len(w)::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM cut
+"""
+
+
 def fingerprint_text(fp: str = "fp") -> Column:
     """A signed 64-bit fingerprint as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
@@ -57,8 +153,14 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
     return {
+        "op1_quality_rules": op1_quality_rules,
+        "op2_line_dedup": op2_line_dedup,
+        "op3_quality_classifier": op3_quality_classifier,
         "op4_token_counts": op4_token_counts,
+        "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_bpe_encode_decode": op6_bpe_encode_decode,
+        "op7_chat_format": op7_chat_format,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
     }
@@ -66,4 +168,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {}
+    return {"op2_line_dedup": OP2_SQL, "op8_substring_dedup": OP8_SQL}

@@ -226,3 +226,20 @@ def simhash_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
 def renamed_id(df: DataFrame, id_col: str) -> DataFrame:
     """The id column under the name ``id``."""
     return df.withColumnRenamed(id_col, "id")
+
+
+def near_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """``documents`` with one row of each component left: the one with the smallest id, nulls last.
+
+    Rows are told apart by id and text, so rows that share an id but not their text are documents of their
+    own, and of repeated rows one stays.
+    """
+    inner = [f"c{i}" for i in range(len(documents.columns))]
+    plain = documents.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(documents.columns, inner, strict=True)])
+    number, text = (F.col(inner[documents.columns.index(c)]) for c in (id_col, text_col))
+    keyed = plain.withColumn("k", F.xxhash64(number, text)).withColumn("l", F.xxhash64(text, F.lit(1), number))
+    named = keyed.select(F.struct(number.isNull().alias("none"), number.alias("number"), "k", "l").alias("key"), text.alias("text"))
+    found = simhash_components(named, "key", "text", size)
+    left = found.where(F.equal_null("key", "component_id")).select(F.col("key.k").alias("k"), F.col("key.l").alias("l"))
+    out = keyed.join(left, ["k", "l"], "left_semi").dropDuplicates(["k", "l"])
+    return out.select(*[F.col(n).alias(c) for c, n in zip(documents.columns, inner, strict=True)])
