@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from siftglass.llm.common import arrow_map, id_and_text, id_field, written
 
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 5 << 20
 #: Level of the compressor; higher ones take more time than they save disk.
 LEVEL = 1
 

@@ -24,7 +24,7 @@ from siftglass.llm.packed import pack, squeeze, unsqueeze
 
 WINDOW = 13
 #: Windows of one range of hashes that one task counts.
-RANGE_WINDOWS = 4_000_000
+RANGE_WINDOWS = 1_500_000
 #: The base of the polynomial over words, that over bytes, both odd, and the seed of the byte table.
 WORD_BASE = 0x9E3779B97F4A7C15
 BYTE_BASE = 0xD1342543DE82EF95
@@ -103,17 +103,16 @@ class Batch:
         self.text = np.frombuffer(unsqueeze(texts), np.uint8)
         stops = np.frombuffer(unsqueeze(ends), np.int64)
         words = word_hashes(self.text)
-        before = np.concatenate([[0], np.cumsum(self.text == 0x20)])
-        self.word_ends = before[stops]
+        self.word_ends = np.searchsorted(np.flatnonzero(self.text == 0x20), stops)
         self.word_starts = np.concatenate([[0], self.word_ends[:-1]])
         hashes = window_hashes(words, size)
         counts = np.maximum(self.word_ends - self.word_starts - size + 1, 0)
-        self.document = np.repeat(np.arange(len(ids), dtype=np.int64), counts)
+        self.document = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
         first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        self.place = np.arange(int(counts.sum())) - np.repeat(first, counts) + np.repeat(self.word_starts, counts)
-        self.hash = hashes[self.place] if len(self.place) else np.zeros(0, np.uint64)
-        self.order = np.argsort(self.hash, kind="stable")
-        inorder = self.hash[self.order]
+        self.place = (np.arange(int(counts.sum())) + np.repeat(self.word_starts - first, counts)).astype(np.int32)
+        hashes = hashes[self.place] if len(self.place) else np.zeros(0, np.uint64)
+        self.order = np.argsort(hashes, kind="stable").astype(np.int32)
+        inorder = hashes[self.order]
         self.new = np.ones(len(inorder), bool)
         self.new[1:] = inorder[1:] != inorder[:-1]
         self.distinct = inorder[self.new]
@@ -186,14 +185,13 @@ def substring_dedup(
     )
 
     def count(chunk: pa.Table) -> pa.Table:
-        rows = chunk.to_pylist()
+        batches, ranges = chunk.column("batch"), chunk.column("range")
         hashes, least = [], []
-        for r in rows:
-            h = np.cumsum(_from_planes(r["hashes"], np.uint64), dtype=np.uint64)
-            ids = np.cumsum(_from_planes(r["ids"], np.int64))
+        for steps, id_steps, owners in zip(*[chunk.column(n) for n in ("hashes", "ids", "owners")], strict=True):
+            hashes.append(np.cumsum(_from_planes(steps.as_py(), np.uint64), dtype=np.uint64))
+            ids = np.cumsum(_from_planes(id_steps.as_py(), np.int64))
             kind = np.uint16 if len(ids) < 1 << 16 else np.uint32
-            hashes.append(h)
-            least.append(ids[_from_planes(r["owners"], kind)])
+            least.append(ids[_from_planes(owners.as_py(), kind)])
         sizes = [len(h) for h in hashes]
         every, owner = np.concatenate(hashes), np.concatenate(least)
         del hashes, least
@@ -201,16 +199,15 @@ def substring_dedup(
         inorder = every[order]
         new = np.ones(len(order), bool)
         new[1:] = inorder[1:] != inorder[:-1]
-        group = np.cumsum(new) - 1
-        smallest = np.minimum.reduceat(owner[order], np.flatnonzero(new))
+        del every, inorder
+        firsts = np.flatnonzero(new)
+        owner = owner[order]
+        smallest = np.repeat(np.minimum.reduceat(owner, firsts), np.diff(np.append(firsts, len(order))))
         smaller = np.empty(len(order), bool)
-        smaller[order] = smallest[group] < owner[order]
+        smaller[order] = smallest < owner
         stops = np.cumsum(sizes)
         parts = [squeeze(np.packbits(smaller[e - n : e])) for n, e in zip(sizes, stops, strict=True)]
-        return pa.table(
-            [pa.array([r["batch"] for r in rows], pa.int64()), pa.array([r["range"] for r in rows], pa.int64()), pa.array(parts, pa.binary())],
-            names=answer_schema.names,
-        )
+        return pa.table([batches, ranges, pa.array(parts, pa.binary())], names=answer_schema.names)
 
     answers = chunks.groupBy("range").applyInArrow(count, answer_schema)
     made = T.StructType(
@@ -253,8 +250,8 @@ def substring_dedup(
                 out[2].append(int(lost.sum()))
                 out[3].append(edges.reshape(-1, 2).tolist())
             stops = np.frombuffer(unsqueeze(row["ends"]), np.int64)
-            word = np.cumsum(text == 0x20) - (text == 0x20)
-            stays = keep[word] if len(text) else np.zeros(0, bool)
+            ends = np.flatnonzero(text == 0x20)
+            stays = np.repeat(keep, np.diff(ends, prepend=-1)) if len(text) else np.zeros(0, bool)
             start = 0
             for stop in stops.tolist():
                 out[4].append(text[start:stop][stays[start:stop]].tobytes()[:-1].decode())
