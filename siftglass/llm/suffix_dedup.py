@@ -12,6 +12,10 @@ anchor) backwards, by deep-shallow sorting: a sparse suffix array with about one
    pair of classes with two members is a repeat.  This takes no pairs of members and compares bytes, not
    hashes, throughout.
 4. Each batch marks the bytes of its repeated strings.
+
+A hash with very many distinct surroundings (a passage that a third of all documents embed, each in a text of
+its own) would be one task's work in step 3.  Its strings are instead counted one by one, by 128-bit digests,
+after equal ones of a batch are put together: exact copies meet in one row of each batch, all others part.
 """
 
 from __future__ import annotations
@@ -21,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftglass.llm.common import id_field
+from siftglass.llm.common import id_field, written
 from siftglass.llm.deep_shallow import deep_shallow_sort, neighbour_prefixes
 from siftglass.llm.packed import pack, squeeze, unsqueeze
 from siftglass.llm.substring_dedup import mixed
@@ -35,7 +40,9 @@ GRAM = 16
 #: Bytes of text whose anchors are looked for at once.
 CHUNK = 1 << 20
 #: Surroundings that one task sorts, on average.
-RANGE_MEMBERS = 30_000
+RANGE_MEMBERS = 15_000
+#: Distinct surroundings of one hash above which its strings are counted one by one.
+HOT_MEMBERS = 50_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -124,20 +131,30 @@ class Surroundings:
             tuple(np.concatenate([p[k] for p in parts]) for k in range(4)) if parts else none
         )
 
-    def members(self, repeated: np.ndarray) -> dict[tuple[bytes, bytes, int], list[int]]:
+    def members(self, repeated: np.ndarray | None) -> dict[tuple[bytes, bytes, int], list[int]]:
         """The distinct surroundings of anchors with a repeated hash, and which anchors have them.
 
         Each is (text before, text from the anchor on, last place behind the anchor), as far as needed.
         """
         out: dict[tuple[bytes, bytes, int], list[int]] = {}
         text, length = self.text, self.length
-        chosen = np.flatnonzero(np.isin(self.hash, repeated))
+        chosen = np.arange(len(self.hash)) if repeated is None else np.flatnonzero(np.isin(self.hash, repeated))
         columns = zip(chosen.tolist(), self.anchor[chosen].tolist(), self.first[chosen].tolist(), self.last[chosen].tolist(), strict=True)
         for k, a, first, last in columns:
             out.setdefault((text[first:a], text[a : last + length], last - a), []).append(k)
         return out
 
 
+    def strings(self, hot: np.ndarray) -> dict[tuple[int, int], list[int]]:
+        """The digests of the strings at anchors with a hot hash, and where these strings start."""
+        out: dict[tuple[int, int], list[int]] = {}
+        for k in np.flatnonzero(np.isin(self.hash, hot)).tolist():
+            for at in range(int(self.first[k]), int(self.last[k]) + 1):
+                d = xxhash.xxh3_128_intdigest(self.text[at : at + self.length])
+                out.setdefault(((d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)), []).append(at)
+        return out
+
+
 def _repeats(hashes: np.ndarray, before: list[bytes], after: list[bytes], nearest: np.ndarray, count: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
     """For each surrounding, the runs (d, d') of repeated strings by their distance before the anchor."""
     n = len(before)
@@ -172,7 +189,7 @@ def _repeats(hashes: np.ndarray, before: list[bytes], after: list[bytes], neares
 
 
 def suffix_dedup(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, range_members: int = RANGE_MEMBERS, digest: bool = False
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, range_members: int = RANGE_MEMBERS, hot_members: int = HOT_MEMBERS, digest: bool = False
 ) -> DataFrame:
     """One row per document: ``id_col, n_bytes, n_removed, removed, kept``.
 
@@ -186,18 +203,22 @@ def suffix_dedup(
     """
     packed = pack(documents, id_col, text_col)
     texts = packed.select("batch", "ids", "ends", "texts")
-    hash_schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("n", T.LongType())])
+    hash_schema = T.StructType([T.StructField(n, T.LongType()) for n in ("batch", "hash", "n", "members")])
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for row in rows.to_pylist():
                 s = Surroundings(row, length)
+                owners = [which[0] for which in s.members(None).values()]
                 values, n = np.unique(s.hash.view(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), row["batch"])), pa.array(values), pa.array(n.astype(np.int64))], names=hash_schema.names)
+                distinct = np.bincount(np.searchsorted(values, s.hash[owners].view(np.int64)), minlength=len(values))
+                columns = [np.full(len(values), row["batch"]), values, n.astype(np.int64), distinct.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=hash_schema.names)
 
     seen = texts.mapInArrow(hashes, hash_schema)
-    repeated = seen.groupBy("hash").agg(F.sum("n").alias("total")).where(F.col("total") > 1)
-    wanted = seen.join(repeated, "hash").select("batch", "hash")
+    repeated = seen.groupBy("hash").agg(F.sum("n").alias("total"), F.sum("members").alias("all")).where(F.col("total") > 1)
+    every = written(seen.join(repeated, "hash").select("batch", "hash", (F.col("all") > hot_members).alias("hot")), "anchors")
+    wanted = every.where("NOT hot")
     size = packed.agg(F.sum("size")).first()
     #: One place in about (length - GRAM) / 2 is an anchor.
     ranges = max(1, int((size[0] or 0) * 2 // (length - GRAM) // range_members)) if size else 1
@@ -243,9 +264,14 @@ def suffix_dedup(
         return pa.table([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.binary())], names=answer_schema.names)
 
     answers = members.groupBy("range").applyInArrow(sort, answer_schema)
-    asked = wanted.groupBy("batch").agg(F.collect_list("hash").alias("hashes"))
-    told = answers.groupBy("batch").agg(F.collect_list("runs").alias("runs"))
-    replies = asked.join(told, "batch", "inner")
+    replies = wanted.groupBy("batch").agg(F.collect_list("hash").alias("hashes")).join(
+        answers.groupBy("batch").agg(F.collect_list("runs").alias("runs")), "batch"
+    )
+    hot = every.where("hot")
+    if hot.limit(1).count():
+        replies = replies.join(_hot_replies(texts, hot, length), "batch", "full")
+    else:
+        replies = replies.withColumn("hot_hashes", F.array().cast("array<bigint>")).withColumn("strings", F.array().cast(_STRINGS))
     made_schema = T.StructType(
         [
             T.StructField("id", id_field(documents, id_col)),
@@ -258,19 +284,24 @@ def suffix_dedup(
 
     def cut(texts: pa.Table, replies: pa.Table) -> pa.Table:
         out: list[list[object]] = [[], [], [], [], []]
-        said = replies.select(["hashes", "runs"]).to_pylist()
+        said = replies.select(["hashes", "runs", "hot_hashes", "strings"]).to_pylist()
         kind = texts.schema.field("ids").type.value_type
         for row in texts.to_pylist():
             text, stops = unsqueeze(row["texts"]), np.frombuffer(unsqueeze(row["ends"]), np.int64)
-            edges = np.zeros(len(text) + 1, np.int64)
+            edges = np.zeros(len(text) + 1, np.int32)
             if said:
                 s = Surroundings(row, length)
-                which = list(s.members(np.array(said[0]["hashes"], np.int64).view(np.uint64)).values())
-                for runs in said[0]["runs"]:
+                which = list(s.members(np.array(said[0]["hashes"] or [], np.int64).view(np.uint64)).values())
+                for runs in said[0]["runs"] or []:
                     for number, d, e in np.frombuffer(unsqueeze(runs), np.int32).reshape(-1, 3).tolist():
                         a = s.anchor[which[number]]
                         np.add.at(edges, a - e, 1)
                         np.subtract.at(edges, a - d + length, 1)
+                if said[0]["strings"]:
+                    starts = s.strings(np.array(said[0]["hot_hashes"], np.int64).view(np.uint64))
+                    at = np.array([k for x in said[0]["strings"] for k in starts[x["high"], x["low"]]])
+                    np.add.at(edges, at, 1)
+                    np.subtract.at(edges, at + length, 1)
             gone = np.cumsum(edges)[:-1] > 0
             start = 0
             for i, stop in zip(row["ids"], stops.tolist(), strict=True):
@@ -295,6 +326,28 @@ def suffix_dedup(
     return done.withColumnRenamed("id", id_col)
 
 
+_STRING = T.StructType([T.StructField("high", T.LongType()), T.StructField("low", T.LongType())])
+_STRINGS = T.ArrayType(_STRING)
+
+
+def _hot_replies(texts: DataFrame, hot: DataFrame, length: int) -> DataFrame:
+    """``batch, hot_hashes, strings``: the digests of repeated strings at anchors with a hot hash."""
+    schema = T.StructType([T.StructField("batch", T.LongType()), *_STRING.fields, T.StructField("n", T.LongType())])
+
+    def count(texts: pa.Table, hot: pa.Table) -> pa.Table:
+        found: dict[tuple[int, int], list[int]] = {}
+        row = texts.to_pylist()[0] if len(hot) else None
+        if row is not None:
+            found = Surroundings(row, length).strings(hot.column("hash").to_numpy().view(np.uint64))
+        columns = [[row["batch"] if row else 0] * len(found), [k[0] for k in found], [k[1] for k in found], [len(v) for v in found.values()]]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=schema.names)
+
+    strings = texts.groupBy("batch").cogroup(hot.groupBy("batch")).applyInArrow(count, schema)
+    counted = strings.groupBy("high", "low").agg(F.sum("n").alias("total")).where(F.col("total") > 1)
+    told = strings.join(counted, ["high", "low"]).groupBy("batch").agg(F.collect_list(F.struct("high", "low")).alias("strings"))
+    return hot.groupBy("batch").agg(F.collect_list("hash").alias("hot_hashes")).join(told, "batch")
+
+
 def _bundle(members: list[tuple[int, int, int, int, bytes, bytes]]) -> bytes:
     """Surroundings as bytes: four numbers each, two lengths each, the strings."""
     fixed = np.array([(m[0], m[1] - (1 << 64) if m[1] >> 63 else m[1], m[2], m[3]) for m in members], np.int64)
