@@ -150,6 +150,24 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+OP10_SQL = r"""
+WITH low AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+docs AS (SELECT doc_id, coalesce(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM low),
+items AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+cut AS (SELECT item, w, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 11, 2))) AS i FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS x FROM cut),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docs),
+here AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS x FROM starts CROSS JOIN (SELECT DISTINCT n FROM windows) WHERE i + n - 1 <= len(w)),
+hits AS (SELECT doc_id, i, n, item FROM here JOIN windows USING (x, n)),
+found AS (SELECT doc_id, len(list_distinct(flatten(list(range(i, i + n))))) AS n_hit, list_sort(list_distinct(list(item))) AS items FROM hits GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN found USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
     return {
@@ -168,4 +186,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op2_line_dedup": OP2_SQL, "op8_substring_dedup": OP8_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op8_substring_dedup": OP8_SQL, "op10_benchmark_decontamination": OP10_SQL}

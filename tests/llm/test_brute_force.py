@@ -99,13 +99,13 @@ def brute_suffix(data, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "members"), [(400, 30_000), (60, 20)])
-def test_suffix_dedup(documents, texts, monkeypatch, length, members):
+@pytest.mark.parametrize(("length", "members", "hot"), [(400, 30_000, 50_000), (60, 20, 50_000), (60, 20, 6), (60, 20, 0)])
+def test_suffix_dedup(documents, texts, monkeypatch, length, members, hot):
     from siftglass.llm import packed
     from siftglass.llm.suffix_dedup import suffix_dedup
 
     monkeypatch.setattr(packed, "BATCH_BYTES", 6000)
-    got = {r["doc_id"]: r for r in suffix_dedup(documents, length=length, range_members=members).collect()}
+    got = {r["doc_id"]: r for r in suffix_dedup(documents, length=length, range_members=members, hot_members=hot).collect()}
     expected = brute_suffix({i: (t or "").encode() for i, t in texts.items()}, length)
     assert len(got) == len(texts)
     assert any(x[1] for x in expected.values())
@@ -321,6 +321,8 @@ def test_line_dedup(spark):
     pages += [(20, "http://b.example/1", "common\nmine"), (21, None, "common"), (22, "http://a.example/z", None), (23, "nonsense", "common"), (20, "http://b.example/1", "common\nmine")]
     df = spark.createDataFrame(pages, "page_id long, url string, text string")
     rows = line_dedup(df, host_of(F.col("url")), F.col("text")).collect()
+    joined = line_dedup(df, host_of(F.col("url")), F.col("text"), broadcast_bytes=-1).collect()
+    assert sorted(map(str, joined)) == sorted(map(str, rows))
     got = {r["page_id"]: r for r in rows}
     assert len(rows) == len(pages)
     assert got[0]["text"] == "own 0" and got[0]["n_dropped"] == 2 and got[5]["text"] == "own 5\nxxxxx"
