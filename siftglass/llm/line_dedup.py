@@ -9,10 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftglass.llm.common import written
+
 #: A line is boilerplate of a host if it stands in more than this share of the host's pages, ...
 MAX_RATIO = 0.2
 #: ... and the host has at least so many pages: below, shares say nothing.
 MIN_PAGES = 5
+#: Boilerplate of all hosts up to this many bytes is broadcast; more is joined to the pages by host and salt.
+BROADCAST_BYTES = 8 << 20
+#: Parts that a host's pages are dealt into for that join.
+SALTS = 64
 
 
 def host_of(url: Column) -> Column:
@@ -34,6 +40,7 @@ def line_dedup(
     max_ratio: float = MAX_RATIO,
     min_pages: int = MIN_PAGES,
     keep: list[str] | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """One row per page: ``id_col``, the columns ``keep``, ``n_lines, n_dropped, text``.
 
@@ -45,7 +52,9 @@ def line_dedup(
 
     The lines of a host beyond the ratio are at most its lines per page divided by the ratio, so the list
     that is joined to its pages stays short however many pages it has; counts are summed before the shuffle,
-    and a host with a third of all pages is dealt out by the line.
+    and a host with a third of all pages is dealt out by the line.  All lists together are written first: if
+    they are small they are broadcast and pages stay where they are, else each host's pages are dealt to SALTS
+    parts, so that no host is one task.
     """
     keep = keep or []
     base = pages.select(
@@ -64,7 +73,13 @@ def line_dedup(
     common = (
         counts.join(totals, "host").where(F.col("n") > max_ratio * F.col("total")).groupBy("host").agg(F.collect_set("line").alias("common"))
     )
-    out = base.join(common, "host", "left")
+    common = written(common, "boilerplate")
+    size = common.select(F.sum(F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 16) + F.octet_length("host"))).first()
+    if (size[0] or 0 if size else 0) <= broadcast_bytes:
+        out = base.join(F.broadcast(common), "host", "left")
+    else:
+        salted = base.withColumn("salt", F.pmod(F.xxhash64("id", "text"), F.lit(SALTS)).cast("int"))
+        out = salted.join(common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
     all_lines = F.split("text", "\n")
     none = F.col("common").isNull()
     kept = F.when(none, all_lines).otherwise(F.filter(all_lines, lambda x: ~F.array_contains(F.col("common"), _bare(x))))
