@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftglass.llm.common import arrow_map
+from siftglass.llm.common import arrow_map, written
 
 CACHE = T.StructType(
     [
@@ -121,6 +121,8 @@ def token_counts(
         .groupBy("content")
         .agg(F.max("n_tokens").alias("n_tokens"))
     )
+    #: Written, so that the join below has a plain shuffle on either side and a hot text's rows can be split.
+    stored = written(stored, "counts")
     sizes = keyed.select("id", "content", F.octet_length("text").cast("long").alias("n_bytes"))
     return sizes.join(stored, "content").select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
