@@ -51,8 +51,8 @@ def at_least(found: DataFrame, severity: str) -> DataFrame:
     return found.where(severity_rank(F.col("severity")) >= SEVERITIES[severity])
 
 
-def statuses(artifacts: DataFrame) -> DataFrame:
-    """``artifact_id, name, ran, reason`` of every detector and artifact: a skip is never silent."""
+def inspector_lists(artifacts: DataFrame) -> DataFrame:
+    """``artifact_id, inspectors``: how each detector fared, in their order."""
     because = F.concat(F.lit("not applicable to a "), F.col("kind"), F.lit(" artifact"))
 
     def status(name: str, applies: Column) -> Column:
@@ -64,7 +64,13 @@ def statuses(artifacts: DataFrame) -> DataFrame:
     found = inspected_containers(artifacts).select(F.col("artifact_id").alias("_id"), "statuses")
     joined = artifacts.join(found, F.equal_null(artifacts["artifact_id"], F.col("_id")), "left")
     every = F.concat(own.cast(T.ArrayType(STATUS)), F.coalesce("statuses", absent.cast(T.ArrayType(STATUS))))
-    return joined.select("artifact_id", F.explode(every).alias("s")).select("artifact_id", "s.*")
+    return joined.select("artifact_id", every.alias("inspectors"))
+
+
+def statuses(artifacts: DataFrame) -> DataFrame:
+    """``artifact_id, name, ran, reason`` of every detector and artifact: a skip is never silent."""
+    lists = inspector_lists(artifacts)
+    return lists.select("artifact_id", F.explode("inspectors").alias("s")).select("artifact_id", "s.*")
 
 
 def unknown_signals(artifacts: DataFrame) -> DataFrame:

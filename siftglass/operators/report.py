@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftglass.functions.cleaning import OPERATIONS, PROFILES
-from siftglass.operators.inspect import EMPTY_FINDINGS, SEVERITIES, findings, provenance, severity_rank
+from siftglass.operators.inspect import EMPTY_FINDINGS, SEVERITIES, findings, inspector_lists, provenance, severity_rank
 from siftglass.operators.transform import Options, transform
 
 SCHEMA_VERSION = "1.0"
@@ -22,13 +22,15 @@ DISCLAIMER = (
 
 
 def analyze(artifacts: DataFrame, options: Options | None = None) -> DataFrame:
-    """One row per artifact: its reference, findings, provenance and, with options, transformation."""
+    """One row per artifact: its reference, findings, detectors, provenance and, with options, transformation."""
     found = findings(artifacts)
     order = F.array_sort(F.collect_list(F.struct("detector", "category", F.struct(*found.columns[1:]).alias("f"))))
     grouped = found.groupBy(F.col("artifact_id").alias("_f")).agg(F.transform(order, lambda x: x["f"]).alias("findings"))
     told = provenance(artifacts, found).withColumnRenamed("artifact_id", "_p")
     out = artifacts.drop("data", "text").join(grouped, F.equal_null("artifact_id", "_f"), "left")
     out = out.join(told, F.equal_null("artifact_id", "_p"), "left").drop("_f", "_p")
+    fared = inspector_lists(artifacts).withColumnRenamed("artifact_id", "_i")
+    out = out.join(fared, F.equal_null("artifact_id", "_i"), "left").drop("_i")
     out = out.withColumn("findings", F.coalesce("findings", F.array().cast(EMPTY_FINDINGS)))
     out = out.withColumn("schema_version", F.lit(SCHEMA_VERSION)).withColumn("tool_version", F.lit(TOOL_VERSION))
     if options is None:
@@ -37,22 +39,45 @@ def analyze(artifacts: DataFrame, options: Options | None = None) -> DataFrame:
     return out.join(changed, F.equal_null("artifact_id", "_t"), "left").drop("_t")
 
 
+REFERENCE = ("path", "kind", "language", "media_type", "sha256", "size_bytes", "encoding", "decoded")
+
+
+def nested(reports: DataFrame) -> DataFrame:
+    """Reports in their saved shape: artifact, inspection, transformation and validation as structs."""
+    done = "performed" in reports.columns
+    pick = lambda *names: F.struct(*names) if done else F.lit(None).cast(_EMPTY[names[1]])
+    told = F.struct(F.col("known_signals").alias("known_signals_detected"), "unknown_signals", "confidence", "notes")
+    return reports.select(
+        "artifact_id",
+        "schema_version",
+        "tool_version",
+        F.struct(*REFERENCE).alias("artifact"),
+        F.struct("findings", "inspectors", told.alias("provenance")).alias("inspection"),
+        pick("performed", "accepted", "rejected_reason", "operations", "output_sha256", "output_size_bytes").alias("transformation"),
+        pick("performed", "all_passed", "checks").alias("validation"),
+    )
+
+
+_OPERATION = "operation:string,description:string,semantics_preserving:boolean,applied:boolean,changes:bigint,details:string"
+_EMPTY = {
+    "accepted": f"struct<performed:boolean,accepted:boolean,rejected_reason:string,operations:array<struct<{_OPERATION}>>,output_sha256:string,output_size_bytes:bigint>",
+    "all_passed": "struct<performed:boolean,all_passed:boolean,checks:array<struct<name:string,passed:boolean,measurements:string>>>",
+}
+
+
 def as_json(reports: DataFrame) -> DataFrame:
     """``artifact_id, report``: each report as one JSON object, without the output's bytes."""
-    parts = F.struct(*[F.col(c) for c in reports.columns if c not in ("artifact_id", "output")])
-    return reports.select("artifact_id", F.to_json(parts).alias("report"))
+    shaped = nested(reports)
+    return shaped.select("artifact_id", F.to_json(F.struct(*shaped.columns[1:])).alias("report"))
 
 
-def read_reports(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """Saved reports (one JSON object a line) with the columns of ``like``; a line of another shape is an error."""
-    schema = as_json_schema(like)
-    text = spark.read.text(path)
-    return text.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
-
+def read_reports(spark: SparkSession, path: str, key: str = "bigint") -> DataFrame:
+    """Saved reports (one JSON object a line) in their saved shape; a line that is no report is an error."""
+    from siftglass.operators.artifacts import artifacts_from_binary
 
-def as_json_schema(reports: DataFrame) -> str:
-    """The columns of saved reports as a schema string."""
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reports.schema if f.name not in ("artifact_id", "output"))
+    none = artifacts_from_binary(spark.createDataFrame([], f"id {key}, data binary"), "id", "data")
+    schema = nested(analyze(none, Options())).drop("artifact_id").schema
+    return spark.read.text(path).select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def batch_summary(reports: DataFrame) -> DataFrame:

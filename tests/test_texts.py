@@ -220,15 +220,23 @@ def test_import_removal_rules():
 
 
 def test_reports(spark, samples, tmp_path):
-    from siftglass.operators.report import analyze, as_json, batch_summary, build_result, exit_code, operations, read_reports, rendered
+    from siftglass.operators.report import analyze, as_json, batch_summary, build_result, exit_code, nested, operations, read_reports, rendered
     from siftglass.operators.transform import Options
 
     reports = analyze(samples, Options(changes=False))
     assert reports.count() == len(SAMPLES)
     saved = f"file://{tmp_path}/saved"
     as_json(reports).select("report").write.text(saved)
-    again = read_reports(spark, saved, reports)
-    assert sorted(map(str, again.select("sha256", "findings", "checks").collect())) == sorted(map(str, reports.select("sha256", "findings", "checks").collect()))
+    again = read_reports(spark, saved)
+    shaped = nested(reports).drop("artifact_id")
+    assert sorted(map(str, again.collect())) == sorted(map(str, shaped.collect()))
+    bad = str(tmp_path / "bad")
+    spark.createDataFrame([("{no report",)], "value string").write.text(bad)
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        read_reports(spark, bad).collect()
+    one = json.loads(as_json(analyze(samples)).where(f"artifact_id = {SAMPLES.index(DIRTY)}").first()["report"])
+    assert one["artifact"]["encoding"] == "utf-8-sig" and "transformation" not in one
+    assert [i["name"] for i in one["inspection"]["inspectors"]] == ["unicode", "text_markers", "file_metadata", "office_metadata", "pdf_metadata", "c2pa"]
     inspected = analyze(samples)
     summary = batch_summary(inspected).first()
     assert summary["artifacts"] == len(SAMPLES) and summary["with_findings"] + summary["hidden"] == len(SAMPLES)
