@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from siftglass.llm.common import written
 
 #: A line is boilerplate of a host if it stands in more than this share of the host's pages, ...
-MAX_RATIO = 0.2
-#: ... and the host has at least so many pages: below, shares say nothing.
+MAX_RATIO = 0.05
+#: ... and in at least so many of them: on a host with few pages, shares say nothing.
 MIN_PAGES = 5
 #: Boilerplate of all hosts up to this many bytes is broadcast; more is joined to the pages by host and salt.
 BROADCAST_BYTES = 8 << 20
@@ -67,11 +67,11 @@ def line_dedup(
         .select("host", F.explode(lines).alias("line"))
         .groupBy("host", "line")
         .agg(F.count("*").alias("n"))
-        .where(F.col("n") > max_ratio * min_pages)
+        .where(F.col("n") >= min_pages)
     )
-    totals = hosted.groupBy("host").agg(F.count("*").alias("total")).where(F.col("total") >= min_pages)
+    totals = hosted.groupBy("host").agg(F.count("*").alias("total"))
     common = (
-        counts.join(totals, "host").where(F.col("n") > max_ratio * F.col("total")).groupBy("host").agg(F.collect_set("line").alias("common"))
+        counts.join(totals, "host").where(F.col("n") / F.col("total") > max_ratio).groupBy("host").agg(F.collect_set("line").alias("common"))
     )
     common = written(common, "boilerplate")
     size = common.select(F.sum(F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 16) + F.octet_length("host"))).first()

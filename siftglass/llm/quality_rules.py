@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 #: Labelled rows that the rules are learned from, at most: those with the smallest digests of their id.
 LABELLED_ROWS = 20_000
-#: Thresholds tried for each statistic: its quantiles in the labelled rows.
+#: Thresholds tried for each statistic: the middles between so many of its quantiles in the labelled rows.
 QUANTILES = 24
 MOST_RULES = 8
 MOST_CONDITIONS = 4
@@ -283,7 +284,8 @@ def fit(
     found = values.agg(*[F.percentile_approx(n, shares, 1000).alias(n) for n in RATIOS]).first()
     if found is None or found[0] is None:
         return DecisionList(())
-    thresholds = {n: sorted(set(found[n])) for n in RATIOS}
+    #: Halfway between neighbouring quantiles: a rule then keeps its distance from both sides.
+    thresholds = {n: [(a + b) / 2 for a, b in pairwise(sorted(set(found[n])))] for n in RATIOS}
 
     def bin_of(n: str) -> Column:
         return sum((F.when(F.col(n) > t, 1).otherwise(0) for t in thresholds[n]), F.lit(0))

@@ -40,9 +40,9 @@ seen AS (
   SELECT host, line, count(*) AS n FROM (
     SELECT host, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x)), lambda x: x <> ''))) AS line
     FROM base WHERE host IS NOT NULL)
-  GROUP BY host, line),
-totals AS (SELECT host, count(*) AS total FROM base WHERE host IS NOT NULL GROUP BY host HAVING count(*) >= 5),
-common AS (SELECT host, list(line) AS common FROM seen JOIN totals USING (host) WHERE n > 0.2 * total GROUP BY host),
+  GROUP BY host, line HAVING count(*) >= 5),
+totals AS (SELECT host, count(*) AS total FROM base WHERE host IS NOT NULL GROUP BY host),
+common AS (SELECT host, list(line) AS common FROM seen JOIN totals USING (host) WHERE n::DOUBLE / total > 0.05::DOUBLE GROUP BY host),
 cut AS (
   SELECT page_id, lines, list_filter(lines, lambda x: NOT coalesce(list_contains(common, trim(x)), false)) AS kept
   FROM base LEFT JOIN common USING (host))

@@ -317,7 +317,7 @@ def test_chat_format(spark):
 def test_line_dedup(spark):
     from siftglass.llm.line_dedup import host_of, html_lines, line_dedup
 
-    pages = [(k, f"http://A.example/{k}", f"common\nown {k}\n{'twice' if k < 3 else 'x' * k}") for k in range(12)]
+    pages = [(k, f"http://A.example/{k}", f"common\nown {k}\n{'often' if k < 6 else 'rare' if k < 9 else 'x'}") for k in range(12)]
     pages += [(20, "http://b.example/1", "common\nmine"), (21, None, "common"), (22, "http://a.example/z", None), (23, "nonsense", "common"), (20, "http://b.example/1", "common\nmine")]
     df = spark.createDataFrame(pages, "page_id long, url string, text string")
     rows = line_dedup(df, host_of(F.col("url")), F.col("text")).collect()
@@ -325,7 +325,7 @@ def test_line_dedup(spark):
     assert sorted(map(str, joined)) == sorted(map(str, rows))
     got = {r["page_id"]: r for r in rows}
     assert len(rows) == len(pages)
-    assert got[0]["text"] == "own 0" and got[0]["n_dropped"] == 2 and got[5]["text"] == "own 5\nxxxxx"
+    assert got[0]["text"] == "own 0" and got[0]["n_dropped"] == 2 and got[7]["text"] == "own 7\nrare"
     assert got[20]["text"] == "common\nmine" and got[21]["n_dropped"] == 0 and got[22]["text"] is None and got[22]["n_lines"] == 0
     page = spark.createDataFrame([("<p>a</p><script>x\n</script><!-- c -->b<br>",)], "h string").select(html_lines(F.col("h")).alias("t")).first()[0]
     assert page.split("\n") == ["", "a", "b", ""]

@@ -93,7 +93,7 @@ def test_decision_list_learns_conjunctions():
     found = learn(cells, cells, {"words": [0.0, 1.0, 2.0, 3.0], "repeated_words": [0.0, 1.0, 2.0, 3.0]})
     assert len(found.rules) == 1
     assert {str(c) for c in found.rules[0]} == {"words > 2", "repeated_words <= 1"}
-    noisy = [((a, 0), 20, 20) for a in range(5)]
+    noisy = [((a, 0), 20, 20) for a in range(3)]
     assert not learn(noisy, noisy, {"words": [0.0, 1.0], "repeated_words": [0.0]}).rules
 
 
@@ -111,7 +111,7 @@ def brute_pipeline(rows, labels, items):
             seen[r[3]].update({x.strip(" ") for x in r[1].split("\n")} - {""})
     cut = {}
     for i, t, _, s, _ in rows:
-        common = {x for x, n in seen[s].items() if total[s] >= 5 and n > 0.2 * total[s]} if s is not None else set()
+        common = {x for x, n in seen[s].items() if n >= 5 and n / total[s] > 0.05} if s is not None else set()
         cut[i] = None if t is None else "\n".join(x for x in t.split("\n") if x.strip(" ") not in common)
     fps = {i: fingerprint((t or "").encode()) for i, t in cut.items()}
     parent = {i: i for i in fps}
