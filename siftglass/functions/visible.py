@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftglass.functions.charsets import format_and_control_class
+from siftglass.functions.sequences import compare, ratio
 
 # Markdown structure, counted line by line.
 STRUCTURE = {
@@ -46,36 +45,38 @@ def word_similarity(before: pd.Series, after: pd.Series) -> pd.Series:
     """The similarity ratio of two lists of words; null where either is null."""
     return pd.Series(
         [
-            None if a is None or b is None else difflib.SequenceMatcher(a=list(a), b=list(b), autojunk=False).ratio()
+            None if a is None or b is None else ratio(list(a), list(b))
             for a, b in zip(before, after, strict=True)
         ],
         dtype="float64",
     )
 
 
-@F.pandas_udf(T.LongType())
-def _edits(before: pd.Series, after: pd.Series) -> pd.Series:
-    def edits(a: str | None, b: str | None) -> int | None:
-        if a is None or b is None:
-            return None
-        steps = difflib.SequenceMatcher(a=a, b=b, autojunk=False).get_opcodes()
-        return sum(max(j - i, l - k) for tag, i, j, k, l in steps if tag != "equal")  # noqa: E741
+_PAIR = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _edits(pairs: pd.Series) -> pd.Series:
+    """The edits of each pair of an array; null for null pairs."""
+    return pairs.map(lambda some: [None if p is None else compare(p["a"], p["b"])[1] for p in some], na_action="ignore")
+
+
+def _compared(before: Column, after: Column, limit: int) -> Column:
+    """Whether a pair has to be compared item by item: changed, by more than a last line feed, and not too long."""
+    return (F.greatest(F.length(before), F.length(after)) <= limit) & (before != after) & (after != F.concat(before, F.lit("\n")))
 
-    return pd.Series([edits(a, b) for a, b in zip(before, after, strict=True)], dtype="Int64")
 
+def edit_counts(pairs: list[tuple[Column, Column]], limit: int = DIFF_LIMIT) -> Column:
+    """An array with the edits of each pair that has to be compared, made by one Python function for all pairs."""
+    asked = F.array(*[F.when(_compared(a, b, limit), F.struct(a.alias("a"), b.alias("b"))) for a, b in pairs]).cast(T.ArrayType(_PAIR))
+    return _edits(F.when(F.size(F.array_compact(asked)) > 0, asked))
 
-def change_count(before: Column, after: Column, limit: int = DIFF_LIMIT) -> Column:
-    """Characters that a change affects: edit steps up to a size, the difference of lengths beyond.
 
-    Unchanged pairs, and a line feed put at the end, are answered without the (quadratic) comparison.
-    """
-    small = F.greatest(F.length(before), F.length(after)) <= limit
-    appended = after == F.concat(before, F.lit("\n"))
-    compared = small & (before != after) & ~appended
-    found = _edits(F.when(compared, before), F.when(compared, after))
+def change_count(before: Column, after: Column, edits: Column, limit: int = DIFF_LIMIT) -> Column:
+    """Characters that a change affects: its edits, or the difference of lengths for very long texts."""
     return (
         F.when(before == after, F.lit(0).cast("long"))
-        .when(appended, F.lit(1).cast("long"))
-        .when(~small, F.abs(F.length(before) - F.length(after)).cast("long"))
-        .otherwise(found)
+        .when(after == F.concat(before, F.lit("\n")), F.lit(1).cast("long"))
+        .when(~_compared(before, after, limit), F.abs(F.length(before) - F.length(after)).cast("long"))
+        .otherwise(edits)
     )

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from siftglass.functions import images, office, pdfs, pycode
 from siftglass.functions.cleaning import Operation, resolve_operations
-from siftglass.functions.visible import change_count
+from siftglass.functions.visible import change_count, edit_counts
 from siftglass.operators.artifacts import is_pdf
 from siftglass.operators.checks import CHECKS, MIN_SIMILARITY, all_passed, failed_names, with_text_checks
 
@@ -118,9 +118,9 @@ def _passed(checks: Column, name: str) -> Column:
     return F.get(F.filter(checks, lambda c: c["name"] == name), 0)["passed"]
 
 
-def _operation(o: Operation, before: Column, after: Column, count: bool) -> Column:
-    changes = change_count(before, after) if count else F.when(before == after, F.lit(0).cast("long"))
-    details = F.lit(json.dumps({"note": o.note} if o.note else {}))
+def _operation(o: Operation, before: Column, after: Column, edits: Column | None, details: Column | None = None) -> Column:
+    changes = F.when(before == after, F.lit(0).cast("long")) if edits is None else change_count(before, after, edits)
+    details = F.lit(json.dumps({"note": o.note} if o.note else {})) if details is None else details
     return F.struct(F.lit(o.id), F.lit(o.description), F.lit(o.semantics_preserving), before != after, changes, details)
 
 
@@ -130,7 +130,7 @@ def transform_text(artifacts: DataFrame, options: Options = Options()) -> DataFr
     structural = [o for o in chosen if o.apply is None]
     plain = [o for o in chosen if o.apply is not None]
     df = artifacts.where(F.col("text").isNotNull()).select("artifact_id", "kind", "language", "data", F.col("text").alias("t0"))
-    steps: list[Column] = []
+    done: list[tuple[Operation, str, str, Column | None]] = []
     if structural:
         python = F.col("language") == "python"
         df = df.withColumn("pruned", _pruned(F.when(python, F.col("t0"))))
@@ -141,19 +141,21 @@ def transform_text(artifacts: DataFrame, options: Options = Options()) -> DataFr
             .when(F.col("pruned.failing").isNotNull(), F.to_json(F.struct(F.lit(o.note).alias("note"), F.concat(F.lit("the change could not be proven safe and was not applied (not overridable with --force); failing: "), F.col("pruned.failing")).alias("discarded"))))
             .otherwise(F.to_json(F.struct(F.lit(o.note).alias("note"))))
         )
-        changes = change_count(F.col("t0"), F.col("mid")) if options.changes else F.lit(None).cast("long")
-        steps.append(F.struct(F.lit(o.id), F.lit(o.description), F.lit(False), F.col("t0") != F.col("mid"), changes, why))
+        done.append((o, "t0", "mid", why))
         proofs = F.coalesce(F.col("pruned.checks"), F.array().cast(CHECKS))
     else:
         df = df.withColumn("mid", F.col("t0"))
         proofs = F.array().cast(CHECKS)
-    df = df.withColumn("proofs", proofs).drop("pruned") if not structural else df.withColumn("proofs", proofs)
+    df = df.withColumn("proofs", proofs)
     last = "mid"
     for k, o in enumerate(plain, 1):
         assert o.apply is not None
         df = df.withColumn(f"t{k}", o.apply(F.col(last)))
-        steps.append(_operation(o, F.col(last), F.col(f"t{k}"), options.changes))
+        done.append((o, last, f"t{k}", None))
         last = f"t{k}"
+    if options.changes:
+        df = df.withColumn("edits", edit_counts([(F.col(a), F.col(b)) for _, a, b, _ in done]))
+    steps = [_operation(o, F.col(a), F.col(b), F.get("edits", F.lit(k)) if options.changes else None, why) for k, (o, a, b, why) in enumerate(done)]
     df = df.withColumn("operations", F.array(*steps).cast(T.ArrayType(OPERATION)))
     df = df.select("artifact_id", "kind", "language", "data", "mid", F.col(last).alias("final"), "proofs", "operations")
     df = with_text_checks(df, "mid", "final", options.min_similarity)

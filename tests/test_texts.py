@@ -303,3 +303,19 @@ def test_streams(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {r["n"] for r in spark.table("counts").collect()} == {5}
+
+
+def test_matching_blocks_are_those_of_the_standard_library():
+    import random
+
+    from siftglass.functions.sequences import compare, ratio
+
+    rng = random.Random(8)
+    for k in range(600):
+        letters = "ab" if k % 2 else "abcdefgh "
+        a = "".join(rng.choice(letters) for _ in range(rng.randrange(40)))
+        b = "".join(c for c in a if rng.random() > 0.2) if k % 3 else "".join(rng.choice(letters) for _ in range(rng.randrange(40)))
+        matcher = difflib.SequenceMatcher(a=a, b=b, autojunk=False)
+        edits = sum(max(j - i, m - n) for tag, i, j, n, m in matcher.get_opcodes() if tag != "equal")
+        assert compare(a, b) == (sum(x.size for x in matcher.get_matching_blocks()), edits), (a, b)
+        assert ratio(a.split(), b.split()) == pytest.approx(difflib.SequenceMatcher(a=a.split(), b=b.split(), autojunk=False).ratio())
