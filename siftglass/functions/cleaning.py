@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftglass.functions import charsets as C
+from siftglass.functions.barrier import settled
 from siftglass.functions.normalize import nfc
 
 
@@ -27,29 +28,19 @@ def _drop(pattern: str) -> Callable[[Column], Column]:
     return lambda text: F.regexp_replace(text, pattern, "")
 
 
-def _zero_width(text: Column) -> Column:
-    """A byte order mark at the beginning stays; every other one goes."""
-    lead = F.when(F.startswith(text, F.lit(C.BOM)), F.lit(C.BOM)).otherwise(F.lit(""))
-    return F.concat(lead, F.regexp_replace(text, C.ZERO_WIDTH_CLASS, ""))
-
-
-def _bom(text: Column) -> Column:
-    return F.when(F.startswith(text, F.lit(C.BOM)), F.substring(text, 2, 2**31 - 1)).otherwise(text)
+#: A byte order mark at the beginning stays; every other one goes.
+_ZERO_WIDTH = C.regex_class(set(C.ZERO_WIDTH) - {0xFEFF}) + "|(?<!^)\\x{FEFF}"
 
 
 def _line_endings(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
-def _final_newline(text: Column) -> Column:
-    return F.when((text == "") | F.endswith(text, F.lit("\n")), text).otherwise(F.concat(text, F.lit("\n")))
-
-
 # Ids, descriptions and notes.
 OPERATIONS = {
     o.id: o
     for o in (
-        Operation("strip_zero_width", "Remove zero-width and word-joiner characters", _zero_width),
+        Operation("strip_zero_width", "Remove zero-width and word-joiner characters", _drop(_ZERO_WIDTH)),
         Operation(
             "strip_tag_characters",
             "Remove deprecated Unicode tag characters (U+E0000-U+E007F)",
@@ -76,7 +67,7 @@ OPERATIONS = {
             lambda t: F.regexp_replace(t, C.SPACE_CLASS, " "),
             "Changes line-breaking behaviour where NO-BREAK SPACE was intentional.",
         ),
-        Operation("strip_bom", "Remove a leading UTF-8 byte order mark", _bom),
+        Operation("strip_bom", "Remove a leading UTF-8 byte order mark", _drop("^\\x{FEFF}")),
         Operation("normalize_nfc", "Normalize to Unicode NFC", nfc, "Canonical-equivalence only; NFKC (which is lossy) is not used."),
         Operation("normalize_line_endings", "Convert CRLF and CR to LF", _line_endings),
         Operation(
@@ -86,7 +77,7 @@ OPERATIONS = {
             "In Markdown, two trailing spaces are a hard line break.",
         ),
         Operation("collapse_blank_lines", "Collapse runs of more than two blank lines", lambda t: F.regexp_replace(t, "\\n{4,}", "\n\n\n")),
-        Operation("ensure_final_newline", "Ensure the file ends with a newline", _final_newline),
+        Operation("ensure_final_newline", "Ensure the file ends with a newline", lambda t: F.regexp_replace(t, "([^\\n])\\z", "$1\n")),
         Operation(
             "remove_unused_imports",
             "Remove module-level Python imports that nothing references",
@@ -130,9 +121,22 @@ def resolve_operations(profile: str | None = None, operations: list[str] | None
     return [OPERATIONS[o] for o in operations]
 
 
-def cleaned(text: Column, profile: str | None = None, operations: list[str] | None = None) -> Column:
-    """A text after all text operations of a profile or list."""
+def cleaned(text: Column, operation: str) -> Column:
+    """A text after one operation."""
+    (o,) = resolve_operations(None, [operation])
+    if o.apply is None:
+        raise ValueError(f"{operation} is no operation on plain text")
+    return o.apply(text)
+
+
+def with_cleaned(df: DataFrame, text: str, out: str, profile: str | None = None, operations: list[str] | None = None) -> DataFrame:
+    """``df`` with a column ``out``: the text after all text operations of a profile or list.
+
+    Each operation gets a column of its own: nested in one expression, those that name their input several
+    times would multiply.
+    """
+    df = df.withColumn(out, F.col(text))
     for o in resolve_operations(profile, operations):
         if o.apply is not None:
-            text = o.apply(text)
-    return text
+            df = df.withColumn(out, o.apply(F.col(out)))
+    return settled(df)

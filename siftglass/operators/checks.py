@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftglass.functions.barrier import settled
 from siftglass.functions.normalize import nfc
 from siftglass.functions.visible import STRUCTURE, skeleton, structure_count, without_controls, word_similarity, words
 
@@ -42,16 +43,16 @@ def with_text_checks(df: DataFrame, before: str, after: str, min_similarity: flo
     names = df.columns
     out = df.withColumn("_cb", nfc(F.col(before))).withColumn("_ca", nfc(F.col(after)))
     out = out.withColumn("_sb", skeleton(F.col("_cb"))).withColumn("_sa", skeleton(F.col("_ca")))
-    out = out.withColumn("_same", F.col("_sb") == F.col("_sa"))
-    out = out.withColumn("_wb", words(F.col("_sb"))).withColumn("_wa", words(F.col("_sa")))
     out = out.withColumn("_vb", without_controls(F.col(before))).withColumn("_va", without_controls(F.col(after)))
+    out = settled(out.drop("_cb", "_ca")).withColumn("_same", F.col("_sb") == F.col("_sa"))
+    out = settled(out.withColumn("_wb", words(F.col("_sb"))).withColumn("_wa", words(F.col("_sa"))))
     for n in STRUCTURE:
         out = out.withColumn(f"_b_{n}", structure_count(F.col("_vb"), n)).withColumn(f"_a_{n}", structure_count(F.col("_va"), n))
     differ = ~F.col("_same")
     out = out.withColumn("_ratio", F.when(F.col("_same"), F.lit(1.0)).otherwise(word_similarity(F.when(differ, F.col("_wb")), F.when(differ, F.col("_wa")))))
     added = F.when(F.col("_same"), F.array().cast("array<string>")).otherwise(F.array_sort(F.array_except("_wa", "_wb")))
     removed = F.when(F.col("_same"), F.array().cast("array<string>")).otherwise(F.array_sort(F.array_except("_wb", "_wa")))
-    out = out.withColumn("_added", added).withColumn("_removed", removed)
+    out = settled(out.withColumn("_added", added).withColumn("_removed", removed))
     structure_kept = F.lit(True)
     for n in STRUCTURE:
         structure_kept = structure_kept & (F.col(f"_b_{n}") == F.col(f"_a_{n}"))
@@ -75,7 +76,7 @@ def with_text_checks(df: DataFrame, before: str, after: str, min_similarity: flo
         ),
         check("semantic_similarity", F.lit(None).cast("boolean")),
     ).cast(CHECKS)
-    return out.select(*names, F.when(F.col(before).isNotNull() & F.col(after).isNotNull(), checks).alias("text_checks"))
+    return settled(out.select(*names, F.when(F.col(before).isNotNull() & F.col(after).isNotNull(), checks).alias("text_checks")))
 
 
 def validate_pairs(pairs: DataFrame, key: str, before: str, after: str, min_similarity: float = MIN_SIMILARITY) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftglass.functions import images, office, pdfs, pycode
+from siftglass.functions.barrier import settled
 from siftglass.functions.cleaning import Operation, resolve_operations
 from siftglass.functions.visible import change_count, edit_counts
 from siftglass.operators.artifacts import is_pdf
@@ -153,14 +154,16 @@ def transform_text(artifacts: DataFrame, options: Options = Options()) -> DataFr
         df = df.withColumn(f"t{k}", o.apply(F.col(last)))
         done.append((o, last, f"t{k}", None))
         last = f"t{k}"
+    df = settled(df)
     if options.changes:
         df = df.withColumn("edits", edit_counts([(F.col(a), F.col(b)) for _, a, b, _ in done]))
     steps = [_operation(o, F.col(a), F.col(b), F.get("edits", F.lit(k)) if options.changes else None, why) for k, (o, a, b, why) in enumerate(done)]
     df = df.withColumn("operations", F.array(*steps).cast(T.ArrayType(OPERATION)))
-    df = df.select("artifact_id", "kind", "language", "data", "mid", F.col(last).alias("final"), "proofs", "operations")
+    df = settled(df.select("artifact_id", "kind", "language", "data", "mid", F.col(last).alias("final"), "proofs", "operations"))
     df = with_text_checks(df, "mid", "final", options.min_similarity)
     code = F.col("kind") == "source_code"
     df = df.withColumn("code_checks", F.coalesce(_code_checks(F.when(code, F.col("mid")), F.when(code, F.col("final")), F.col("language")), F.array().cast(CHECKS)))
+    df = settled(df)
     df = df.withColumn("text_ok", F.coalesce(all_passed(F.col("text_checks")), F.lit(True)))
     df = df.withColumn("checks", F.concat("proofs", "code_checks", "text_checks"))
     parses, kept = _passed(F.col("code_checks"), "code_parses_after"), _passed(F.col("code_checks"), "code_semantics_preserved")

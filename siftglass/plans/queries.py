@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftglass.functions import charsets as C
-from siftglass.functions.cleaning import OPERATIONS, PROFILES, cleaned
+from siftglass.functions.cleaning import OPERATIONS, PROFILES, cleaned, with_cleaned
 from siftglass.functions.normalize import other_form
 from siftglass.functions.visible import STRUCTURE, skeleton, structure_count, without_controls, words
 from siftglass.operators import registry
@@ -301,7 +301,7 @@ def _operation_query(name: str) -> None:
 
     @_query(name, f"WITH {_S}, {steps} SELECT doc_id, sha256(text) AS sha256 FROM {last}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _salted(spark, sf_dir).select("doc_id", F.sha2(cleaned(F.col("text"), operations=[name]), 256).alias("sha256"))
+        return _salted(spark, sf_dir).select("doc_id", F.sha2(cleaned(F.col("text"), name), 256).alias("sha256"))
 
 
 for _name in _OP_SQL:
@@ -378,7 +378,7 @@ SELECT doc_id, len(added)::BIGINT AS added, len(removed)::BIGINT AS removed, arr
 def words_added_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftglass.functions.normalize import nfc
 
-    text = _salted(spark, sf_dir).where("text IS NOT NULL").select("doc_id", "text", cleaned(F.col("text"), "tidy").alias("clean"))
+    text = with_cleaned(_salted(spark, sf_dir).where("text IS NOT NULL").select("doc_id", "text"), "text", "clean", "tidy")
     made = text.select("doc_id", words(skeleton(nfc(F.col("text")))).alias("a"), words(skeleton(nfc(F.col("clean")))).alias("b")).where("a <> b")
     found = made.select("doc_id", F.array_except("b", "a").alias("added"), F.array_except("a", "b").alias("removed")).where(F.size("added") + F.size("removed") > 0)
     return found.select("doc_id", F.size("added").cast("long").alias("added"), F.size("removed").cast("long").alias("removed"), F.array_join(F.slice(F.array_sort("added"), 1, 10), " ").alias("examples"))
@@ -448,8 +448,8 @@ def change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("idempotence_violations", "SELECT doc_id FROM documents WHERE false")
 def idempotence_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose cleaned text isn't clean: there must be none."""
-    once = _salted(spark, sf_dir).where("text IS NOT NULL").select("doc_id", cleaned(F.col("text"), "tidy").alias("a"))
-    return once.select("doc_id", "a", cleaned(F.col("a"), "tidy").alias("b")).where("a <> b").select("doc_id")
+    once = with_cleaned(_salted(spark, sf_dir).where("text IS NOT NULL").select("doc_id", "text"), "text", "a", "tidy")
+    return with_cleaned(once, "a", "b", "tidy").where("a <> b").select("doc_id")
 
 
 @_query("remove_unused_imports")

@@ -82,7 +82,7 @@ def structure(t):
 
 @pytest.mark.parametrize("name", [n for n, o in OPERATIONS.items() if o.apply])
 def test_operation(samples, name):
-    got = {r[0]: r[1] for r in samples.where("text IS NOT NULL").select("artifact_id", cleaned(F.col("text"), operations=[name])).collect()}
+    got = {r[0]: r[1] for r in samples.where("text IS NOT NULL").select("artifact_id", cleaned(F.col("text"), name)).collect()}
     assert got == {k: apply_plainly(name, SAMPLES[k]) for k in got}
 
 
