@@ -35,7 +35,10 @@ def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, dealt out anew if its files give fewer partitions than there are cores (one row group isn't split)."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def _salted(spark: SparkSession, sf_dir: str) -> DataFrame:
