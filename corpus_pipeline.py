@@ -19,9 +19,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines in too large a share of a source's documents go; ``n_chars`` follows the text."""
+    """Lines in too large a share of a source's distinct texts go, but never all of a text; ``n_chars`` follows the text."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = line_dedup(docs, F.col("source"), F.col("text"), "doc_id", keep=others)
+    out = line_dedup(docs, F.col("source"), F.col("text"), "doc_id", keep=others, copies_once=True)
     columns = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*columns)
 

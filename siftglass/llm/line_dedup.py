@@ -41,6 +41,7 @@ def line_dedup(
     min_pages: int = MIN_PAGES,
     keep: list[str] | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
+    copies_once: bool = False,
 ) -> DataFrame:
     """One row per page: ``id_col``, the columns ``keep``, ``n_lines, n_dropped, text``.
 
@@ -50,6 +51,9 @@ def line_dedup(
     share no host, so none of their lines is dropped.  A null text stays null and has no lines.  An empty
     table gives an empty result.
 
+    With ``copies_once``, rows of a host with identical texts are one page in both counts, and a text whose
+    every line would go keeps them all: copies are no boilerplate, whatever share of a host they make up.
+
     The lines of a host beyond the ratio are at most its lines per page divided by the ratio, so the list
     that is joined to its pages stays short however many pages it has; counts are summed before the shuffle,
     and a host with a third of all pages is dealt out by the line.  All lists together are written first: if
@@ -62,14 +66,16 @@ def line_dedup(
     )
     lines = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), _bare), lambda x: x != ""))
     hosted = base.where(F.col("host").isNotNull())
+    once = hosted.select("host", "text").distinct() if copies_once else hosted
     counts = (
-        hosted.where(F.col("text").isNotNull())
+        once.where(F.col("text").isNotNull())
         .select("host", F.explode(lines).alias("line"))
         .groupBy("host", "line")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") >= min_pages)
     )
-    totals = hosted.groupBy("host").agg(F.count("*").alias("total"))
+    n_pages = F.count_distinct(F.xxhash64("text"), F.xxhash64("text", F.lit(1))) if copies_once else F.count("*")
+    totals = hosted.groupBy("host").agg(n_pages.alias("total"))
     common = (
         counts.join(totals, "host").where(F.col("n") / F.col("total") > max_ratio).groupBy("host").agg(F.collect_set("line").alias("common"))
     )
@@ -85,6 +91,8 @@ def line_dedup(
     kept = F.when(none, all_lines).otherwise(F.filter(all_lines, lambda x: ~F.array_contains(F.col("common"), _bare(x))))
     counted = F.size(F.filter(all_lines, lambda x: _bare(x) != ""))
     out = out.withColumn("kept", kept)
+    if copies_once:
+        out = out.withColumn("kept", F.when(F.exists("kept", lambda x: _bare(x) != ""), F.col("kept")).otherwise(all_lines))
     return out.select(
         F.col("id").alias(id_col),
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
