@@ -17,3 +17,20 @@ def test_line_stage_leaves_copies_their_text(spark):
     assert all(got[i]["text"] == t and got[i]["n_chars"] == len(t) for i, t, *_ in rows if 100 <= i < 300)
     left = corpus_pipeline.near_dedup_stage(spark, df.where("doc_id between 100 and 199"), "").collect()
     assert [r["text"] for r in left] == [copied]
+
+
+def test_repeated_windows_parted_by_an_equal_key(spark):
+    from pyspark.sql import functions as F
+
+    from siftglass.llm.quality_rules import statistics
+
+    n = (1 << 20) + 2
+    words = [f"{k:x}" for k in range(n)]
+    word = lambda c: F.lower(F.hex(c))
+    digests = spark.range(n - 2).select("id", F.xxhash64(*[word(F.col("id") + j) for j in range(3)]).alias("x"))
+    keyed = digests.groupBy(F.shiftright("x", 31)).agg(F.sort_array(F.collect_list("id")).alias("at")).where("size(at) > 1")
+    first, second = min(keyed.collect(), key=lambda r: r["at"])["at"][:2]
+    text = " ".join(words[first : second + 3] + words[first : first + 3])
+    padding = " ".join(f"p{k:x}" for k in range(n - len(text.split())))
+    df = spark.createDataFrame([(1, f"{padding} {text}")], "doc_id long, text string")
+    assert statistics(df).first()["stats"]["n_repeat_words"] == 6
