@@ -78,9 +78,9 @@ class WuManber:
 class Searcher:
     """The windows of some benchmark items, ready for search."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW) -> None:
         self.window = window
-        owners: dict[bytes, set[str]] = defaultdict(set)
+        owners: dict[bytes, set[str | None]] = defaultdict(set)
         lengths: dict[bytes, int] = {}
         for item, text in items:
             words = words_of(text)
@@ -93,13 +93,13 @@ class Searcher:
         groups = [[p for p in sorted(owners) if (len(p) < SHORT) == short] for short in (False, True)]
         self.tables = [WuManber(g) for g in groups if g]
 
-    def scan(self, text: bytes | None) -> tuple[int, np.ndarray, set[str]]:
+    def scan(self, text: bytes | None) -> tuple[int, np.ndarray, set[str | None]]:
         """Number of words, which of them are hit, and the items that occur."""
         words = words_of(text)
         if not words:
             return 0, np.zeros(0, bool), set()
         plain = b" " + b" ".join(words) + b" "
-        found: set[str] = set()
+        found: set[str | None] = set()
         spans: list[tuple[int, int]] = []
         for t in self.tables:
             for start, k in t.search(plain):
@@ -115,12 +115,12 @@ class Searcher:
         return len(words), hit, found
 
 
-def _passes(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, bytes | None]]]:
+def _passes(benchmark: DataFrame, item_col: str, text_col: str, limit: int, null_items: bool = False) -> Iterator[list[tuple[str | None, bytes | None]]]:
     """The items in groups of at most ``limit`` bytes of text (one item at least)."""
     rows = benchmark.select(
         F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text")
-    ).where(F.col("item").isNotNull() & F.col("text").isNotNull())
-    group: list[tuple[str, bytes | None]] = []
+    ).where((F.lit(null_items) | F.col("item").isNotNull()) & F.col("text").isNotNull())
+    group: list[tuple[str | None, bytes | None]] = []
     size = 0
     for row in rows.toLocalIterator():
         text = bytes(row["text"])
@@ -142,6 +142,7 @@ def decontaminate(
     item_text_col: str = "text",
     window: int = WINDOW,
     pass_bytes: int = PASS_BYTES,
+    null_items: bool = False,
 ) -> DataFrame:
     """One row per document: ``id_col, n_words, n_hit, hit_spans, items, contaminated``.
 
@@ -152,11 +153,12 @@ def decontaminate(
 
     Null and empty texts have no words, hit nothing and aren't contaminated.  Repeated documents give
     repeated rows; a null document id stays null.  Items with a null id or text, or without a word, have
-    no window; an item given twice counts once.  An empty benchmark hits nothing.
+    no window; an item given twice counts once.  An empty benchmark hits nothing.  With ``null_items``, items
+    with a null id are searched too: their windows hit and contaminate, only ``items`` can't name them.
     """
     source = id_and_text(documents, id_col, text_col, binary=True)
     spark = documents.sparkSession
-    groups = [spark.sparkContext.broadcast(g) for g in _passes(benchmark, item_col, item_text_col, pass_bytes)]
+    groups = [spark.sparkContext.broadcast(g) for g in _passes(benchmark, item_col, item_text_col, pass_bytes, null_items)]
     kind = id_field(documents, id_col)
     schema = T.StructType(
         [
@@ -175,7 +177,7 @@ def decontaminate(
             texts = batch.column(1).to_pylist()
             n_words = [0] * len(texts)
             hits: list[np.ndarray | None] = [None] * len(texts)
-            items: list[set[str]] = [set() for _ in texts]
+            items: list[set[str | None]] = [set() for _ in texts]
             for g in groups or [None]:
                 searcher = only or Searcher(g.value if g else [], window)
                 for i, text in enumerate(texts):
@@ -191,7 +193,7 @@ def decontaminate(
                     pa.array(n_words, pa.int64()),
                     pa.array(n_hit, pa.int64()),
                     pa.array(spans, pa.list_(pa.list_(pa.int64()))),
-                    pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                    pa.array([sorted(x - {None}) for x in items], pa.list_(pa.string())),
                     pa.array([h > 0 and RATIO * h >= n for h, n in zip(n_hit, n_words, strict=True)], pa.bool_()),
                 ],
                 names=["id", "n_words", "n_hit", "hit_spans", "items", "contaminated"],
@@ -220,10 +222,10 @@ def drop_contaminated(
     window: int = WINDOW,
     pass_bytes: int = PASS_BYTES,
 ) -> DataFrame:
-    """The rows of ``documents`` that aren't contaminated, with their own columns."""
+    """The rows of ``documents`` that aren't contaminated, by items with a null id either, with their own columns."""
     inner = [f"c{i}" for i in range(len(documents.columns))]
     plain = documents.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(documents.columns, inner, strict=True)])
     row = F.struct(*[F.col(n) for n in inner]).alias("row")
     held = plain.select(row, F.col(inner[documents.columns.index(text_col)]).alias("text"))
-    out = decontaminate(held, benchmark, "row", "text", item_col, item_text_col, window, pass_bytes)
+    out = decontaminate(held, benchmark, "row", "text", item_col, item_text_col, window, pass_bytes, null_items=True)
     return out.where(~F.col("contaminated")).select(*[F.col(f"row.{n}").alias(c) for c, n in zip(documents.columns, inner, strict=True)])

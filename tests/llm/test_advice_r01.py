@@ -34,3 +34,15 @@ def test_repeated_windows_parted_by_an_equal_key(spark):
     padding = " ".join(f"p{k:x}" for k in range(n - len(text.split())))
     df = spark.createDataFrame([(1, f"{padding} {text}")], "doc_id long, text string")
     assert statistics(df).first()["stats"]["n_repeat_words"] == 6
+
+
+def test_items_without_id_contaminate(spark):
+    from siftglass.llm.decontaminate import decontaminate, drop_contaminated
+
+    passage = " ".join(f"w{k}" for k in range(20))
+    df = spark.createDataFrame([(1, f"before {passage} after"), (2, "clean words")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (7, "other item")], "item_id long, text string")
+    for limit in (1 << 24, 10):
+        assert [r["doc_id"] for r in drop_contaminated(df, bench, pass_bytes=limit).collect()] == [2]
+    r = decontaminate(df, bench, null_items=True).where("doc_id = 1").first()
+    assert (r["n_hit"], r["items"], r["contaminated"]) == (20, [], True)
