@@ -202,7 +202,7 @@ def test_decontaminate(spark, documents, texts):
                     hit |= set(range(k, k + len(win)))
                     found.add(item)
         expected[i] = (len(w), len(hit), sorted(found), len(hit) > 0 and 20 * len(hit) >= len(w))
-    for limit in (1 << 24, 300):
+    for limit in (1 << 24, 300, 1):
         got = {r["doc_id"]: r for r in decontaminate(documents, bench, pass_bytes=limit).collect()}
         assert {i: (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for i, r in got.items()} == expected
         assert all(sum(b - a for a, b in r["hit_spans"]) == r["n_hit"] for r in got.values())
