@@ -4,8 +4,9 @@ Two 64-bit fingerprints that differ in at most two bits share at least six of th
 bytes.  The index therefore posts every distinct fingerprint under each choice of six positions with
 the bytes found there: two fingerprints meet in a posting list exactly if their tally of shared
 positional bytes reaches that guaranteed minimum.  Members of a list differ in two bytes at most, so a
-list never has more than 65,536 members however many documents are alike.  Inside a list tallies are
-counted and distances verified; a list reports a spanning forest of its links, never all pairs.
+list never has more than 65,536 members however many documents are alike.  Lists of every length go one
+way: each member is looked up with one or two bits turned, tallies of shared bytes are counted and distances
+verified; a list reports a spanning forest of its links, never all pairs.
 Links between fingerprints are then joined to components by star contraction.
 """
 
@@ -28,8 +29,6 @@ SEED = 42
 MAX_BITS = 2
 #: Shared positional bytes that MAX_BITS differing bits guarantee.
 LEAST_SHARED = 8 - MAX_BITS
-#: Lists up to this length are tallied pair by pair in one block; longer ones are probed bit by bit.
-BLOCK = 256
 #: Shingles whose bits are summed at once.
 CHUNK = 1 << 16
 
@@ -90,47 +89,68 @@ def postings(distinct: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     return distinct.select("fp", F.posexplode(F.array(*keys)).alias("positions", "octets"))
 
 
-def _links(fps: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links (at most MAX_BITS differing bits) among distinct fingerprints."""
-    fps = np.unique(fps)
+def _list_links(lists: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of the links within posting lists: tally of shared bytes reached, then distance verified.
+
+    ``lists`` holds each fingerprint's list, both arrays being sorted by (list, fingerprint).  Candidates are found by
+    looking up every fingerprint with one or two bits turned; members of a list differ in the bits of two bytes at most.
+    """
     n = len(fps)
-    if n <= BLOCK:
-        octets = fps.view(np.uint8).reshape(n, 8)
-        tally = (octets[:, None, :] == octets[None, :, :]).sum(axis=2)
-        apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
-        left, right = np.nonzero(np.triu((tally >= LEAST_SHARED) & (apart <= MAX_BITS), 1))
-        return _forest(n, [(left, right)], fps)
-    differing = int(np.bitwise_or.reduce(fps ^ fps[0]))
-    bits = [np.uint64(1 << b) for b in range(64) if differing >> b & 1]
-    masks = bits + [a | b for a, b in combinations(bits, 2)]
-
-    def probe() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for m in masks:
-            other = fps ^ m
-            at = np.minimum(np.searchsorted(fps, other), n - 1)
-            left = np.flatnonzero((fps[at] == other) & (fps < other))
-            yield left, at[left]
-
-    return _forest(n, probe(), fps)
-
-
-def _forest(n: int, links: object, fps: np.ndarray) -> list[tuple[int, int]]:
-    parent = list(range(n))
+    octets = fps.view(np.uint8).reshape(n, 8)
+    first = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
+    differing = np.bitwise_or.reduceat(fps ^ fps[np.repeat(first, np.diff(np.append(first, n)))], first)
+    rank = np.unique(fps, return_inverse=True)[1].astype(np.int64)
+    values = np.unique(fps)
+    number = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
+    keys = number * np.int64(len(values)) + rank
+    free = differing[number]
+    ones = [np.uint64(1 << b) for b in range(64) if np.bitwise_or.reduce(differing) >> np.uint64(b) & np.uint64(1)]
+    for mask in [*ones, *[a | b for a, b in combinations(ones, 2)]]:
+        asked = np.flatnonzero((free & mask) == mask)
+        other = fps[asked] ^ mask
+        asked, other = asked[fps[asked] < other], other[fps[asked] < other]
+        place = np.minimum(np.searchsorted(values, other), len(values) - 1)
+        asked, place = asked[values[place] == other], place[values[place] == other]
+        wanted = number[asked] * np.int64(len(values)) + place
+        at = np.minimum(np.searchsorted(keys, wanted), n - 1)
+        left, right = asked[keys[at] == wanted], at[keys[at] == wanted]
+        tally = (octets[left] == octets[right]).sum(axis=1)
+        near = np.bitwise_count(fps[left] ^ fps[right]) <= MAX_BITS
+        yield left[(tally >= LEAST_SHARED) & near], right[(tally >= LEAST_SHARED) & near]
+
+
+def forest(lists: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links (at most MAX_BITS differing bits) within each posting list, whatever its length."""
+    if not len(fps):
+        return []
+    order = np.lexsort((fps, lists))
+    lists, fps = lists[order], fps[order]
+    new = np.ones(len(fps), bool)
+    new[1:] = (lists[1:] != lists[:-1]) | (fps[1:] != fps[:-1])
+    lists, fps = lists[new], fps[new]
+    label = np.arange(len(fps))
+    values = fps.view(np.int64)
     kept: list[tuple[int, int]] = []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    values = fps.view(np.int64).tolist()
-    for left, right in links:
-        for a, b in zip(left.tolist(), right.tolist(), strict=True):
+    for left, right in _list_links(lists, fps):
+        apart = label[left] != label[right]
+        if not apart.any():
+            continue
+        parent = label.tolist()
+
+        def root(x: int, parent: list[int] = parent) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for a, b in zip(left[apart].tolist(), right[apart].tolist(), strict=True):
             x, y = root(a), root(b)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-                kept.append((values[a], values[b]))
+                kept.append((int(values[a]), int(values[b])))
+        label = np.array(parent)
+        while (label != label[label]).any():
+            label = label[label]
     return kept
 
 
@@ -147,21 +167,10 @@ def links(distinct: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[tuple[int, int]] = set()
             lists = batch.column(0)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(np.asarray(lists.value_lengths()))
-            start = 0
-            for end in ends.tolist():
-                part = flat[start:end].astype(np.int64).view(np.uint64)
-                start = end
-                if len(part) == 2:
-                    if int(part[0] ^ part[1]).bit_count() <= MAX_BITS:
-                        a, b = part.view(np.int64).tolist()
-                        seen.add((min(a, b), max(a, b)))
-                else:
-                    seen.update((min(x), max(x)) for x in _links(part))
-            pairs = sorted(seen)
+            sizes = np.asarray(lists.value_lengths())
+            fps = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            pairs = sorted({(min(x), max(x)) for x in forest(np.repeat(np.arange(len(sizes)), sizes), fps)})
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"]
             )

@@ -145,33 +145,50 @@ def test_simhash(documents, texts):
     assert got == {i: (fps[i], root(i)) for i in fps}
 
 
-def test_simhash_links_of_long_lists():
+@pytest.mark.parametrize("members", [2, 10, 900, 10_000])
+def test_simhash_links_of_lists_of_any_length(members):
     import numpy as np
 
     from siftglass.llm import simhash
 
-    rng = random.Random(3)
+    rng = random.Random(members)
     base = rng.getrandbits(64)
-    fps = list({base ^ sum(1 << b for b in rng.sample(range(16), rng.randrange(7))) for _ in range(900)})
-    assert len(fps) > simhash.BLOCK
+    found = set()
+    while len(found) < members:
+        found.add(base ^ sum(1 << b for b in rng.sample(range(16), rng.randrange(7))))
+    fps = sorted(found)
+    number = {f: k for k, f in enumerate(fps)}
+    turns = [1 << b for b in range(16)] + [1 << a | 1 << b for a in range(16) for b in range(a)]
 
     def classes(pairs):
-        parent = {f: f for f in fps}
+        parent = list(range(len(fps)))
 
         def root(x):
             while parent[x] != x:
+                parent[x] = parent[parent[x]]
                 x = parent[x]
             return x
 
         for a, b in pairs:
-            parent[root(a)] = root(b)
-        groups = defaultdict(set)
-        for f in fps:
-            groups[root(f)].add(f)
-        return {frozenset(g) for g in groups.values()}
-
-    found = [(a & (1 << 64) - 1, b & (1 << 64) - 1) for a, b in simhash._links(np.array(fps, np.uint64))]
-    assert classes(found) == classes([(a, b) for a in fps for b in fps if (a ^ b).bit_count() <= 2])
+            parent[root(number[a])] = root(number[b])
+        return [root(k) for k in range(len(fps))]
+
+    def named(labels):
+        first = {}
+        return [first.setdefault(x, k) for k, x in enumerate(labels)]
+
+    near = [(f, f ^ t) for f in fps for t in turns if f ^ t in number]
+    if members <= 900:
+        assert {frozenset(p) for p in near} == {frozenset((a, b)) for a in fps for b in fps if a != b and (a ^ b).bit_count() <= 2}
+    shuffled = fps[:]
+    rng.shuffle(shuffled)
+    other = [f ^ (1 << 40) for f in fps[:3]]
+    lists = np.array([5] * len(fps) + [6] * len(other))
+    links = simhash.forest(lists, np.array(shuffled + other, np.uint64))
+    mask = (1 << 64) - 1
+    own = [(a & mask, b & mask) for a, b in links if a & mask in number]
+    assert all((a & mask ^ b & mask).bit_count() <= 2 for a, b in links)
+    assert named(classes(own)) == named(classes(near))
 
 
 def test_components_of_a_chain_and_a_hub(spark):
