@@ -34,17 +34,6 @@ LEAST_PRECISION = 0.95
 LEAST_COVER = 3
 
 
-def _window_positions() -> Column:
-    """The bits that a window's position takes in a sort key; the window digests ``h`` give the others.
-
-    Position and digest share a long, so that sorting brings equal digests together; the full digests are
-    then compared.  Texts of up to 2^20 words use 20 bits for the position, longer ones 31.  Where different
-    digests share a key's bits and meet, they may part equal ones: such texts sort full digests with positions.
-    """
-    low = F.when(F.size("h") < (1 << 20), F.lit((1 << 20) - 1)).otherwise(F.lit((1 << 31) - 1)).cast("long")
-    return low
-
-
 def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with the statistics of its texts added as a struct column ``stats``.
 
@@ -65,48 +54,20 @@ def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
             ),
         ),
     )
-    low = _window_positions()
+    #: Sorted by their full digests, equal windows are neighbours, however many words a text has.
     out = out.withColumn(
         "s",
         F.when(
             F.size(F.array_distinct("h")) < F.size("h"),
-            F.sort_array(F.transform("h", lambda x, i: x.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))),
+            F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("digest"), i.alias("at")))),
         ),
     )
 
     def repeated(x: Column, k: Column) -> Column:
-        def same(other: Column) -> Column:
-            at, near = x.bitwiseAND(low).cast("int"), other.bitwiseAND(low).cast("int")
-            return F.coalesce(F.get(F.col("h"), at) == F.get(F.col("h"), near), F.lit(False))
-
-        return same(F.get(F.col("s"), k - 1)) | same(F.get(F.col("s"), k + 1))
+        before, after = F.get(F.col("s"), k - 1), F.get(F.col("s"), k + 1)
+        return F.coalesce(x["digest"] == before["digest"], F.lit(False)) | F.coalesce(x["digest"] == after["digest"], F.lit(False))
 
-    def mixed(x: Column, k: Column) -> Column:
-        before = F.get(F.col("s"), k - 1)
-        alike = x.bitwiseAND(F.bitwise_not(low)) == before.bitwiseAND(F.bitwise_not(low))
-        at, near = x.bitwiseAND(low).cast("int"), before.bitwiseAND(low).cast("int")
-        return F.coalesce(alike & (F.get(F.col("h"), at) != F.get(F.col("h"), near)), F.lit(False))
-
-    out = out.withColumn(
-        "f",
-        F.when(
-            F.size(F.filter("s", mixed)) > 0,
-            F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("digest"), i.cast("int").alias("at")))),
-        ),
-    )
-
-    def repeated_digest(x: Column, k: Column) -> Column:
-        def same(other: Column) -> Column:
-            return F.coalesce(x["digest"] == other["digest"], F.lit(False))
-
-        return same(F.get(F.col("f"), k - 1)) | same(F.get(F.col("f"), k + 1))
-
-    out = out.withColumn(
-        "p",
-        F.when(F.col("f").isNotNull(), F.sort_array(F.transform(F.filter("f", repeated_digest), lambda x: x["at"]))).when(
-            F.col("s").isNotNull(), F.sort_array(F.transform(F.filter("s", repeated), lambda x: x.bitwiseAND(low).cast("int")))
-        ),
-    )
+    out = out.withColumn("p", F.sort_array(F.transform(F.filter("s", repeated), lambda x: x["at"])))
     covered = F.aggregate(
         "p",
         F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")),
