@@ -14,8 +14,10 @@ anchor) backwards, by deep-shallow sorting: a sparse suffix array with about one
 4. Each batch marks the bytes of its repeated strings.
 
 A hash with very many distinct surroundings (a passage that a third of all documents embed, each in a text of
-its own) would be one task's work in step 3.  Its strings are instead counted one by one, by 128-bit digests,
-after equal ones of a batch are put together: exact copies meet in one row of each batch, all others part.
+its own) would be one task's work in step 3.  Its strings are therefore parted by their distance to the anchor into
+as many ranges as the number of surroundings asks for.  Within a range, equal strings share the bytes just before and
+behind the anchor, which name the group that is sorted, and surroundings are cut to what the range needs, so that
+inside the passage they are all alike and go once for each batch.  Every group is sorted the same way.
 """
 
 from __future__ import annotations
@@ -41,8 +43,8 @@ GRAM = 16
 CHUNK = 1 << 20
 #: Surroundings that one task sorts, on average.
 RANGE_MEMBERS = 15_000
-#: Distinct surroundings of one hash above which its strings are counted one by one.
-HOT_MEMBERS = 50_000
+#: Distinct surroundings of one hash that one group should have: a hash with more is cut into more groups.
+MOST_MEMBERS = 50_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -131,27 +133,26 @@ class Surroundings:
             tuple(np.concatenate([p[k] for p in parts]) for k in range(4)) if parts else none
         )
 
-    def members(self, repeated: np.ndarray | None) -> dict[tuple[bytes, bytes, int], list[int]]:
-        """The distinct surroundings of anchors with a repeated hash, and which anchors have them.
+    def members(self, parts: dict[int, int]) -> dict[tuple[int, int, bytes, bytes], list[int]]:
+        """The distinct surroundings of the anchors whose hash is in ``parts``, and which anchors have them.
 
-        Each is (text before, text from the anchor on, last place behind the anchor), as far as needed.
+        Each is (group, nearest, text before, text from the anchor on).  Strings are told by their distance d
+        before the anchor; the distances are cut into as many ranges as ``parts`` says, and a surrounding reaches
+        only as far as its range needs.  What all strings of a range must share, the bytes just before and
+        behind the anchor, chooses the group: strings that are equal always meet in one.
         """
-        out: dict[tuple[bytes, bytes, int], list[int]] = {}
+        out: dict[tuple[int, int, bytes, bytes], list[int]] = {}
         text, length = self.text, self.length
-        chosen = np.arange(len(self.hash)) if repeated is None else np.flatnonzero(np.isin(self.hash, repeated))
-        columns = zip(chosen.tolist(), self.anchor[chosen].tolist(), self.first[chosen].tolist(), self.last[chosen].tolist(), strict=True)
-        for k, a, first, last in columns:
-            out.setdefault((text[first:a], text[a : last + length], last - a), []).append(k)
-        return out
-
-
-    def strings(self, hot: np.ndarray) -> dict[tuple[int, int], list[int]]:
-        """The digests of the strings at anchors with a hot hash, and where these strings start."""
-        out: dict[tuple[int, int], list[int]] = {}
-        for k in np.flatnonzero(np.isin(self.hash, hot)).tolist():
-            for at in range(int(self.first[k]), int(self.last[k]) + 1):
-                d = xxhash.xxh3_128_intdigest(self.text[at : at + self.length])
-                out.setdefault(((d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)), []).append(at)
+        chosen = np.flatnonzero(np.isin(self.hash, np.array(list(parts), np.uint64)))
+        columns = zip(chosen.tolist(), self.hash[chosen].tolist(), self.anchor[chosen].tolist(), self.first[chosen].tolist(), self.last[chosen].tolist(), strict=True)
+        for k, h, a, first, last in columns:
+            wide = -(-(length - GRAM + 1) // parts[h])
+            nearest, farthest = a - last, a - first
+            for low in range(nearest // wide * wide, farthest + 1, wide):
+                high = min(low + wide - 1, length - GRAM)
+                near, far = max(nearest, low), min(farthest, high)
+                group = h if parts[h] == 1 else xxhash.xxh3_64_intdigest(text[a - low : a - high + length], h)
+                out.setdefault((group, near, text[a - far : a], text[a : a - near + length]), []).append(k)
         return out
 
 
@@ -189,7 +190,7 @@ def _repeats(hashes: np.ndarray, before: list[bytes], after: list[bytes], neares
 
 
 def suffix_dedup(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, range_members: int = RANGE_MEMBERS, hot_members: int = HOT_MEMBERS, digest: bool = False
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, range_members: int = RANGE_MEMBERS, most_members: int = MOST_MEMBERS, digest: bool = False
 ) -> DataFrame:
     """One row per document: ``id_col, n_bytes, n_removed, removed, kept``.
 
@@ -209,7 +210,7 @@ def suffix_dedup(
         for rows in batches:
             for row in rows.to_pylist():
                 s = Surroundings(row, length)
-                owners = [which[0] for which in s.members(None).values()]
+                owners = [which[0] for which in s.members(dict.fromkeys(s.hash.tolist(), 1)).values()]
                 values, n = np.unique(s.hash.view(np.int64), return_counts=True)
                 distinct = np.bincount(np.searchsorted(values, s.hash[owners].view(np.int64)), minlength=len(values))
                 columns = [np.full(len(values), row["batch"]), values, n.astype(np.int64), distinct.astype(np.int64)]
@@ -217,8 +218,8 @@ def suffix_dedup(
 
     seen = texts.mapInArrow(hashes, hash_schema)
     repeated = seen.groupBy("hash").agg(F.sum("n").alias("total"), F.sum("members").alias("all")).where(F.col("total") > 1)
-    every = written(seen.join(repeated, "hash").select("batch", "hash", (F.col("all") > hot_members).alias("hot")), "anchors")
-    wanted = every.where("NOT hot")
+    parts = F.least(F.ceil(F.col("all") / most_members), F.lit(length - GRAM + 1)).cast("long")
+    wanted = written(seen.join(repeated, "hash").select("batch", "hash", parts.alias("parts")), "anchors")
     size = packed.agg(F.sum("size")).first()
     #: One place in about (length - GRAM) / 2 is an anchor.
     ranges = max(1, int((size[0] or 0) * 2 // (length - GRAM) // range_members)) if size else 1
@@ -227,15 +228,14 @@ def suffix_dedup(
     )
 
     def send(texts: pa.Table, wanted: pa.Table) -> pa.Table:
-        repeated = wanted.column("hash").to_numpy().view(np.uint64)
+        parts = dict(zip(wanted.column("hash").to_numpy().view(np.uint64).tolist(), wanted.column("parts").to_pylist(), strict=True))
         out: dict[int, list[tuple[int, int, int, int, bytes, bytes]]] = {}
         batch = 0
         for row in texts.to_pylist():
             batch = row["batch"]
             s = Surroundings(row, length)
-            for number, ((before, after, last), which) in enumerate(s.members(repeated).items()):
-                h = int(s.hash[which[0]])
-                out.setdefault(h % ranges, []).append((number, h, -last, len(which), before, after))
+            for number, ((group, near, before, after), which) in enumerate(s.members(parts).items()):
+                out.setdefault(group % ranges, []).append((number, group, near, len(which), before, after))
         rows = [(r, batch, _bundle(m)) for r, m in out.items()]
         return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=member_schema.names)
 
@@ -264,14 +264,9 @@ def suffix_dedup(
         return pa.table([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.binary())], names=answer_schema.names)
 
     answers = members.groupBy("range").applyInArrow(sort, answer_schema)
-    replies = wanted.groupBy("batch").agg(F.collect_list("hash").alias("hashes")).join(
+    replies = wanted.groupBy("batch").agg(F.collect_list(F.struct("hash", "parts")).alias("wanted")).join(
         answers.groupBy("batch").agg(F.collect_list("runs").alias("runs")), "batch"
     )
-    hot = every.where("hot")
-    if hot.limit(1).count():
-        replies = replies.join(_hot_replies(texts, hot, length), "batch", "full")
-    else:
-        replies = replies.withColumn("hot_hashes", F.array().cast("array<bigint>")).withColumn("strings", F.array().cast(_STRINGS))
     made_schema = T.StructType(
         [
             T.StructField("id", id_field(documents, id_col)),
@@ -284,24 +279,19 @@ def suffix_dedup(
 
     def cut(texts: pa.Table, replies: pa.Table) -> pa.Table:
         out: list[list[object]] = [[], [], [], [], []]
-        said = replies.select(["hashes", "runs", "hot_hashes", "strings"]).to_pylist()
+        said = replies.select(["wanted", "runs"]).to_pylist()
         kind = texts.schema.field("ids").type.value_type
         for row in texts.to_pylist():
             text, stops = unsqueeze(row["texts"]), np.frombuffer(unsqueeze(row["ends"]), np.int64)
             edges = np.zeros(len(text) + 1, np.int32)
             if said:
                 s = Surroundings(row, length)
-                which = list(s.members(np.array(said[0]["hashes"] or [], np.int64).view(np.uint64)).values())
-                for runs in said[0]["runs"] or []:
+                which = list(s.members({w["hash"] & (1 << 64) - 1: w["parts"] for w in said[0]["wanted"]}).values())
+                for runs in said[0]["runs"]:
                     for number, d, e in np.frombuffer(unsqueeze(runs), np.int32).reshape(-1, 3).tolist():
                         a = s.anchor[which[number]]
                         np.add.at(edges, a - e, 1)
                         np.subtract.at(edges, a - d + length, 1)
-                if said[0]["strings"]:
-                    starts = s.strings(np.array(said[0]["hot_hashes"], np.int64).view(np.uint64))
-                    at = np.array([k for x in said[0]["strings"] for k in starts[x["high"], x["low"]]])
-                    np.add.at(edges, at, 1)
-                    np.subtract.at(edges, at + length, 1)
             gone = np.cumsum(edges)[:-1] > 0
             start = 0
             for i, stop in zip(row["ids"], stops.tolist(), strict=True):
@@ -326,28 +316,6 @@ def suffix_dedup(
     return done.withColumnRenamed("id", id_col)
 
 
-_STRING = T.StructType([T.StructField("high", T.LongType()), T.StructField("low", T.LongType())])
-_STRINGS = T.ArrayType(_STRING)
-
-
-def _hot_replies(texts: DataFrame, hot: DataFrame, length: int) -> DataFrame:
-    """``batch, hot_hashes, strings``: the digests of repeated strings at anchors with a hot hash."""
-    schema = T.StructType([T.StructField("batch", T.LongType()), *_STRING.fields, T.StructField("n", T.LongType())])
-
-    def count(texts: pa.Table, hot: pa.Table) -> pa.Table:
-        found: dict[tuple[int, int], list[int]] = {}
-        row = texts.to_pylist()[0] if len(hot) else None
-        if row is not None:
-            found = Surroundings(row, length).strings(hot.column("hash").to_numpy().view(np.uint64))
-        columns = [[row["batch"] if row else 0] * len(found), [k[0] for k in found], [k[1] for k in found], [len(v) for v in found.values()]]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=schema.names)
-
-    strings = texts.groupBy("batch").cogroup(hot.groupBy("batch")).applyInArrow(count, schema)
-    counted = strings.groupBy("high", "low").agg(F.sum("n").alias("total")).where(F.col("total") > 1)
-    told = strings.join(counted, ["high", "low"]).groupBy("batch").agg(F.collect_list(F.struct("high", "low")).alias("strings"))
-    return hot.groupBy("batch").agg(F.collect_list("hash").alias("hot_hashes")).join(told, "batch")
-
-
 def _bundle(members: list[tuple[int, int, int, int, bytes, bytes]]) -> bytes:
     """Surroundings as bytes: four numbers each, two lengths each, the strings."""
     fixed = np.array([(m[0], m[1] - (1 << 64) if m[1] >> 63 else m[1], m[2], m[3]) for m in members], np.int64)

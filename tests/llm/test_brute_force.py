@@ -99,13 +99,13 @@ def brute_suffix(data, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "members", "hot"), [(400, 30_000, 50_000), (60, 20, 50_000), (60, 20, 6), (60, 20, 0)])
+@pytest.mark.parametrize(("length", "members", "hot"), [(400, 30_000, 50_000), (60, 20, 50_000), (60, 20, 6), (60, 20, 1), (400, 50, 1)])
 def test_suffix_dedup(documents, texts, monkeypatch, length, members, hot):
     from siftglass.llm import packed
     from siftglass.llm.suffix_dedup import suffix_dedup
 
     monkeypatch.setattr(packed, "BATCH_BYTES", 6000)
-    got = {r["doc_id"]: r for r in suffix_dedup(documents, length=length, range_members=members, hot_members=hot).collect()}
+    got = {r["doc_id"]: r for r in suffix_dedup(documents, length=length, range_members=members, most_members=hot).collect()}
     expected = brute_suffix({i: (t or "").encode() for i, t in texts.items()}, length)
     assert len(got) == len(texts)
     assert any(x[1] for x in expected.values())
