@@ -9,7 +9,7 @@ import functools
 import sys
 import unicodedata
 
-BOM = "﻿"
+BOM = "\ufeff"
 
 # The named characters of each class.
 ZERO_WIDTH = {

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
-PNG_MAGIC = bytes([0x89]) + b"PNG\r\n\x1a\n"
+PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 JPEG_MAGIC = b"\xff\xd8"
 # Parts that carry metadata, and those that a strip removes.
 PNG_METADATA = ("tEXt", "iTXt", "zTXt", "eXIf", "tIME", "iCCP")
@@ -174,11 +174,23 @@ def pixel_digest(data: bytes) -> str | None:
 
 
 EXIF_MAGIC = b"Exif\0\0"
-# Tags by number, and sizes of field types.
-EXIF_LABELS = {0x010F: "camera make", 0x0110: "camera model", 0x0131: "software", 0x0132: "date/time", 0x013B: "artist"}
-EXIF_SUBDIRECTORY, GPS_SUBDIRECTORY, ORIGINAL_TIME = 0x8769, 0x8825, 0x9003
-LATITUDE_REF, LATITUDE, LONGITUDE_REF, LONGITUDE = 1, 2, 3, 4
+# Types of fields, and what each tag of a directory means.
 TEXT, LONG, RATIONAL = 2, 4, 5
+EXIF_TAGS = {
+    ("main", 0x010F, TEXT): "camera make",
+    ("main", 0x0110, TEXT): "camera model",
+    ("main", 0x0131, TEXT): "software",
+    ("main", 0x0132, TEXT): "date/time",
+    ("main", 0x013B, TEXT): "artist",
+    ("photo", 0x9003, TEXT): "date/time original",
+    ("place", 0x0001, TEXT): "gps_latitude_side",
+    ("place", 0x0002, RATIONAL): "gps_latitude",
+    ("place", 0x0003, TEXT): "gps_longitude_side",
+    ("place", 0x0004, RATIONAL): "gps_longitude",
+}
+EXIF_DIRECTORIES = {("main", 0x8769, LONG): "photo", ("main", 0x8825, LONG): "place"}
+#: Sides of the globe whose degrees are negative.
+NEGATIVE_SIDES = ("S", "W")
 
 
 class _Tiff:
@@ -192,8 +204,8 @@ class _Tiff:
         return int.from_bytes(self.data[at : at + size], self.order)  # type: ignore[arg-type]
 
     def directory(self, at: int) -> Iterator[tuple[int, int, int, int]]:
-        """(tag, type, count, place of the value field) of each entry."""
-        if at + 2 > len(self.data):
+        """(tag, type, count, place of the value field) of each entry; none at place zero, where the header is."""
+        if not at or at + 2 > len(self.data):
             return
         for k in range(self.number(at, 2)):
             entry = at + 2 + 12 * k
@@ -206,42 +218,34 @@ class _Tiff:
         start = place if size <= 4 else self.number(place, 4)
         return self.data[start : start + size] if start + size <= len(self.data) else b""
 
-    def text(self, count: int, place: int) -> str:
-        return self.value(count, place).split(b"\0")[0].decode("ascii", "replace")
-
-    def degrees(self, count: int, place: int) -> float | None:
-        raw = _Tiff.__new__(_Tiff)
-        raw.data, raw.order = self.value(8 * count, place), self.order
-        pairs = [(raw.number(k, 4), raw.number(k + 4, 4)) for k in range(0, len(raw.data) - 7, 8)]
-        parts = [a / b if b else 0.0 for a, b in pairs]
-        return parts[0] + parts[1] / 60 + parts[2] / 3600 if len(parts) >= 3 else None
+    def read(self, kind: int, count: int, place: int) -> str | float | None:
+        """A text, or degrees, minutes and seconds as one number; null if there is none."""
+        if kind == TEXT:
+            return self.value(count, place).split(b"\0")[0].decode("ascii", "replace") or None
+        raw = self.value(8 * count, place)
+        numbers = [int.from_bytes(raw[k : k + 4], self.order) for k in range(0, len(raw), 4)]  # type: ignore[arg-type]
+        parts = [a / b if b else 0.0 for a, b in zip(numbers[::2], numbers[1::2], strict=True)]
+        return sum(p / 60**k for k, p in enumerate(parts[:3])) if len(parts) >= 3 else None
 
 
 def exif_fields(payload: bytes) -> dict[str, object]:
-    """The private fields of an EXIF block: camera, software, times, artist, place."""
+    """The private fields of an EXIF block: camera, software, times, artist, place.
+
+    Directories wait in a list; what a field means, and whether it leads to another directory, is looked up by
+    directory, tag and type.  A place counts only with both coordinates.
+    """
     tiff = _Tiff(payload[len(EXIF_MAGIC) :])
     if not payload.startswith(EXIF_MAGIC) or tiff.order is None:
         return {}
-    out: dict[str, object] = {}
-    gps = 0
-    for tag, kind, count, place in tiff.directory(tiff.number(4, 4)):
-        if kind == TEXT and tag in EXIF_LABELS:
-            if text := tiff.text(count, place):
-                out[EXIF_LABELS[tag]] = text
-        elif kind == LONG and tag == GPS_SUBDIRECTORY:
-            gps = tiff.number(place, 4)
-        elif kind == LONG and tag == EXIF_SUBDIRECTORY:
-            for inner, inner_kind, inner_count, inner_place in tiff.directory(tiff.number(place, 4)):
-                if inner == ORIGINAL_TIME and inner_kind == TEXT and (text := tiff.text(inner_count, inner_place)):
-                    out["date/time original"] = text
-    if gps:
-        found: dict[int, object] = {}
-        for tag, kind, count, place in tiff.directory(gps):
-            if kind == RATIONAL and tag in (LATITUDE, LONGITUDE):
-                found[tag] = tiff.degrees(count, place)
-            elif kind == TEXT and tag in (LATITUDE_REF, LONGITUDE_REF):
-                found[tag] = tiff.text(count, place).upper()
-        if found.get(LATITUDE) is not None and found.get(LONGITUDE) is not None:
-            for tag, ref, negative, name in ((LATITUDE, LATITUDE_REF, "S", "gps_latitude"), (LONGITUDE, LONGITUDE_REF, "W", "gps_longitude")):
-                out[name] = round(float(found[tag]) * (-1 if found.get(ref) == negative else 1), 6)  # type: ignore[arg-type]
-    return out
+    found: dict[str, object] = {}
+    waiting = [("main", tiff.number(4, 4))]
+    for name, at in waiting:
+        for tag, kind, count, place in tiff.directory(at):
+            meaning = name, tag, kind
+            if meaning in EXIF_DIRECTORIES:
+                waiting.append((EXIF_DIRECTORIES[meaning], tiff.number(place, 4)))
+            elif meaning in EXIF_TAGS and (value := tiff.read(kind, count, place)) is not None:
+                found[EXIF_TAGS[meaning]] = value
+    placed = [n for n in ("gps_latitude", "gps_longitude") if n in found]
+    degrees = {n: round(float(found[n]) * (-1 if str(found.get(f"{n}_side", "")).upper() in NEGATIVE_SIDES else 1), 6) for n in placed}  # type: ignore[arg-type]
+    return {n: v for n, v in found.items() if not n.startswith("gps_")} | (degrees if len(placed) == 2 else {})

@@ -1,103 +1,110 @@
-"""Proofs about Python sources: unchanged programs, and removal of imports that nothing refers to."""
+"""Proofs about Python sources: unchanged programs, and removal of imports that nothing refers to.
+
+One visit of a module's tree gathers what both need: which names it could refer to, and what each of its import
+statements binds and occupies.
+"""
 
 from __future__ import annotations
 
 import ast
 import re
+from dataclasses import dataclass
 
-Import = ast.Import | ast.ImportFrom
 _WORD = re.compile("[A-Za-z_][A-Za-z0-9_]*")
 _KEEP = re.compile(r"#\s*noqa", re.IGNORECASE)
 
 
-def parsed(source: str) -> ast.Module | None:
-    """The tree of a source, or null."""
-    try:
-        return ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return None
+@dataclass(frozen=True)
+class Import:
+    """An import statement: the names it binds (null if they can't be known or have an effect of their own)."""
 
+    node: ast.stmt
+    binds: frozenset[str] | None
 
-def _shape(node: ast.AST) -> str:
-    return ast.dump(node, include_attributes=False)
 
+class Survey(ast.NodeVisitor):
+    """What one visit of a module finds."""
 
-def bound_names(statement: Import) -> list[str] | None:
-    """The names that an import binds; null for a star import, whose names can't be known."""
-    names = [(a.name, a.asname) for a in statement.names]
-    if isinstance(statement, ast.ImportFrom) and ("*", None) in names:
-        return None
-    return [alias or name.partition(".")[0] for name, alias in names]
+    def __init__(self, tree: ast.Module) -> None:
+        self.statements = tree.body
+        self.mentioned: set[str] = set()
+        self.imports: dict[ast.stmt, Import] = {}
+        self.visit(tree)
+
+    def visit_Import(self, node: ast.Import) -> None:
+        self.imports[node] = Import(node, frozenset(a.asname or a.name.split(".")[0] for a in node.names))
+
+    def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
+        names = {a.asname or a.name for a in node.names}
+        unknowable = node.module == "__future__" or "*" in names
+        self.imports[node] = Import(node, None if unknowable else frozenset(names))
 
+    def visit_Name(self, node: ast.Name) -> None:
+        self.mentioned.add(node.id)
 
-def mentioned_names(tree: ast.AST) -> set[str]:
-    """All names that a module could refer to: identifiers, global and nonlocal names, words in strings."""
-    found: set[str] = set()
-    for node in ast.walk(tree):
-        match node:
-            case ast.Name(id=name):
-                found.add(name)
-            case ast.Global(names=names) | ast.Nonlocal(names=names):
-                found.update(names)
-            case ast.Constant(value=str(value)):
-                found.update(_WORD.findall(value))
-    return found
+    def visit_Global(self, node: ast.Global | ast.Nonlocal) -> None:
+        self.mentioned.update(node.names)
 
+    visit_Nonlocal = visit_Global
 
-def _is_future(statement: Import) -> bool:
-    return isinstance(statement, ast.ImportFrom) and statement.module == "__future__"
+    def visit_Constant(self, node: ast.Constant) -> None:
+        if isinstance(node.value, str):
+            self.mentioned.update(_WORD.findall(node.value))
 
+    def needless(self, statement: ast.stmt) -> bool:
+        """Whether a statement only imports names that nothing mentions."""
+        found = self.imports.get(statement)
+        return found is not None and found.binds is not None and not found.binds & self.mentioned
 
-def _own_lines(statement: ast.stmt, lines: list[str]) -> range | None:
-    """The lines of a statement if it has them to itself, comments aside, and none is marked to be kept."""
-    first, last = statement.lineno - 1, (statement.end_lineno or 0) - 1
-    rest = lines[last].encode()[statement.end_col_offset :].decode().strip()
-    alone = statement.col_offset == 0 and (not rest or rest.startswith("#"))
-    span = range(first, last + 1)
-    return span if alone and not any(_KEEP.search(lines[k]) for k in span) else None
+    def shapes(self) -> list[str]:
+        """The module's statements without their places."""
+        return [ast.dump(s, include_attributes=False) for s in self.statements]
+
+
+def surveyed(source: str) -> Survey | None:
+    """The survey of a source; null if it doesn't parse."""
+    try:
+        return Survey(ast.parse(source))
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
 
 
 def without_unused_imports(source: str) -> str:
-    """A source without the module's import statements of which no name is mentioned."""
-    tree = parsed(source)
-    if tree is None:
+    """A source without the module's import statements of which no name is mentioned.
+
+    A statement goes only with whole lines: it has them to itself, comments aside, and none is marked to be kept.
+    """
+    survey = surveyed(source)
+    if survey is None:
         return source
-    mentioned, lines = mentioned_names(tree), source.splitlines(keepends=True)
-    unused: set[int] = set()
-    for statement in tree.body:
-        if isinstance(statement, Import) and not _is_future(statement):
-            names = bound_names(statement)
-            if names is not None and mentioned.isdisjoint(names):
-                unused.update(_own_lines(statement, lines) or ())
-    return "".join(line for k, line in enumerate(lines) if k not in unused)
+    lines = source.splitlines(keepends=True)
+    for s in reversed([s for s in survey.statements if survey.needless(s)]):
+        whole = slice(s.lineno - 1, s.end_lineno)
+        behind = lines[whole][-1].encode()[s.end_col_offset :].strip()
+        if s.col_offset == 0 and behind[:1] in (b"", b"#") and not _KEEP.search("".join(lines[whole])):
+            del lines[whole]
+    return "".join(lines)
 
 
 def removal_checks(before: str, after: str) -> list[tuple[str, bool | None]]:
     """The three checks of an import removal: it parses, nothing else changed, nothing removed is mentioned."""
-    old, new = parsed(before), parsed(after)
-    only_removals: bool | None = None
+    old, new = surveyed(before), surveyed(after)
+    confined: bool | None = None
     unmentioned: bool | None = None
     if old is not None and new is not None:
-        rest = [_shape(s) for s in new.body]
-        rest.reverse()
-        removed: list[Import] = []
-        only_removals = True
-        for statement in old.body:
-            if rest and rest[-1] == _shape(statement):
-                rest.pop()
-            elif isinstance(statement, Import):
-                removed.append(statement)
+        following = iter([*new.shapes(), None])
+        expected = next(following)
+        left_out: list[ast.stmt] = []
+        for statement, shape in zip(old.statements, old.shapes(), strict=True):
+            if shape == expected:
+                expected = next(following)
             else:
-                only_removals = False
-                break
-        only_removals = only_removals and not rest
-        if only_removals:
-            mentioned = mentioned_names(old)
-            bound = [bound_names(s) for s in removed if not _is_future(s)]
-            unmentioned = not any(map(_is_future, removed)) and all(n is not None and mentioned.isdisjoint(n) for n in bound)
+                left_out.append(statement)
+        confined = expected is None and all(s in old.imports for s in left_out)
+        unmentioned = all(map(old.needless, left_out)) if confined else None
     return [
         ("structural_output_parses", new is not None),
-        ("structural_delta_is_import_removal_only", only_removals),
+        ("structural_delta_is_import_removal_only", confined),
         ("removed_imports_unreferenced", unmentioned),
     ]
 
@@ -109,6 +116,6 @@ def code_checks(before: str, after: str, language: str | None) -> list[tuple[str
     """
     if language != "python":
         return [("code_semantics_preserved", None)]
-    new, old = parsed(after), parsed(before)
-    same = None if new is None or old is None else _shape(new) == _shape(old)
+    new, old = surveyed(after), surveyed(before)
+    same = None if new is None or old is None else new.shapes() == old.shapes()
     return [("code_parses_after", new is not None), ("code_semantics_preserved", same)]

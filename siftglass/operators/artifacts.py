@@ -39,7 +39,7 @@ MEDIA_TYPES = {
     ".xml": "text/xml",
 }
 
-PNG = bytes([0x89]) + b"PNG\r\n\x1a\n"
+PNG = b"\x89PNG\r\n\x1a\n"
 JPEG = b"\xff\xd8"
 COLUMNS = ["artifact_id", "path", "data", "text", "kind", "language", "media_type", "sha256", "size_bytes", "encoding", "decoded"]
 
@@ -66,7 +66,7 @@ def _classified(df: DataFrame) -> DataFrame:
     """Adds what follows from data, text and path."""
     tail = suffix(F.coalesce("path", F.lit("")))
     language = F.when(F.col("text").isNotNull(), _lookup(LANGUAGES, tail))
-    bom = F.startswith("text", F.lit("﻿"))
+    bom = F.startswith("text", F.lit("\ufeff"))
     return df.select(
         "artifact_id",
         "path",

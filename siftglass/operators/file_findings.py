@@ -50,9 +50,10 @@ def _file(data: bytes, text: str | None, media: str | None) -> list[Finding] | N
 
 
 def _office(data: bytes, text: str | None, media: str | None) -> list[Finding] | None:
-    if not office.is_office(data):
+    package = office.Package.of(data) if data.startswith(b"PK\x03\x04") else None
+    if package is None or not package.is_document:
         return None
-    found, kind = office.properties(data), office.office_kind(data)
+    found, kind = package.properties(), package.kind
     names = [n for bucket in found.values() for n in bucket]
     if not names:
         return []
@@ -62,14 +63,15 @@ def _office(data: bytes, text: str | None, media: str | None) -> list[Finding] |
 
 
 def _pdf(data: bytes, text: str | None, media: str | None) -> list[Finding] | None:
-    if not data.startswith(b"%PDF-") or pdfs.is_encrypted(data):
+    layout = pdfs.Layout.of(data) if data.startswith(b"%PDF-") else None
+    if layout is None or layout.encrypted:
         return None
     out: list[Finding] = []
-    if fields := pdfs.info_fields(data):
+    if fields := layout.fields():
         personal = not fields.keys().isdisjoint(("Author", "Title", "Subject", "Keywords"))
         summary = f"PDF information dictionary carries {len(fields)} field(s)" + personal * " including author/title information"
         out.append(("embedded_metadata", "pdf_info_dictionary", "warning" if personal else "notice", summary, dict(fields), ["strip_pdf_metadata"]))
-    n, tool = pdfs.packet_summary(data)
+    n, tool = layout.summary()
     if n:
         details: dict[str, object] = {"packets": n} | ({"creator_tool": tool} if tool is not None else {})
         summary = f"PDF carries {n} XMP metadata packet(s)" + (f" (creator tool: {tool})" if tool else "")

@@ -243,7 +243,7 @@ def outside_spans(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 def pdf_checks(before: bytes, after: bytes) -> list[tuple[str, bool | None, dict[str, object]]]:
     """The checks of a PDF: same size, both ends there, and nothing changed outside its metadata."""
     same_size = len(before) == len(after)
-    spans = pdfs.metadata_spans(before)
+    spans = pdfs.Layout.of(before).spans()
     confined = outside_spans(before, spans) == outside_spans(after, spans) if same_size else None
     return [
         ("pdf_size_unchanged", same_size, {"before_bytes": len(before), "after_bytes": len(after)}),
@@ -253,10 +253,11 @@ def pdf_checks(before: bytes, after: bytes) -> list[tuple[str, bool | None, dict
 
 
 def _pdf(data: bytes) -> Step | str:
-    if pdfs.is_encrypted(data):
+    layout = pdfs.Layout.of(data)
+    if layout.encrypted:
         return ENCRYPTED
-    fresh, gone = pdfs.strip_pdf(data)
-    changes = sum(x != y for a, b in pdfs.metadata_spans(data) for x, y in zip(data[a:b], fresh[a:b], strict=True))
+    fresh, gone = layout.blanked()
+    changes = sum(x != y for a, b in layout.spans() for x, y in zip(data[a:b], fresh[a:b], strict=True))
     note = "values are blanked in place rather than deleted, so the file size and structure are exactly preserved"
     description = "Blank the information-dictionary values and XMP packets in place, preserving every byte offset"
     return "strip_pdf_metadata", description, fresh, changes, {"removed": gone, "note": note}, pdf_checks(data, fresh)

@@ -5,7 +5,7 @@ import struct
 import zipfile
 import zlib
 
-PNG_MAGIC = bytes([0x89]) + b"PNG\r\n\x1a\n"
+PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 
 
 def png_chunk(kind, payload=b""):
