@@ -17,6 +17,7 @@ from siftglass.operators.inspect import at_least, findings, provenance
 from siftglass.operators.report import analyze, as_json, batch_summary, rendered
 from siftglass.operators.text_findings import BUCKETS, bucket_count, bucket_hits, comments, line_ending_counts, mixed_script_words, tag_payload, text_findings
 from siftglass.operators.transform import Options, transform, transform_text
+from siftglass.plans import containers
 from siftglass.sources.salt import salted, salted_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,7 +266,7 @@ FROM (SELECT *, CASE WHEN turn % 2 = 1 THEN substring(text, 1, 3) || chr(8238) |
 )
 def conversation_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    marked = F.when(F.col("turn") % 2 == 1, F.concat(F.substring(text, 1, 3), F.lit("‮"), F.substring(text, 4, 2**31 - 1))).otherwise(text)
+    marked = F.when(F.col("turn") % 2 == 1, F.concat(F.substring(text, 1, 3), F.lit("\u202e"), F.substring(text, 4, 2**31 - 1))).otherwise(text)
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "role", bucket_count(marked, "bidi_control").alias("n"))
     return turns.groupBy("conv_id", "role").agg(F.count("*").alias("turns"), F.sum("n").alias("bidi"))
 
@@ -455,38 +456,6 @@ def idempotence_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_cleaned(once, "a", "b", "tidy").where("a <> b").select("doc_id")
 
 
-@_query("remove_unused_imports")
-def remove_unused_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Python modules made from the documents' ids, cleaned with the code profile."""
-    body = F.concat(
-        F.lit("import os\nimport sys  # kept\nfrom json import loads, dumps\n"),
-        F.when(F.col("doc_id") % 3 == 0, F.lit("import re  # noqa\n")).otherwise(F.lit("")),
-        F.when(F.col("doc_id") % 5 == 0, F.lit("x = '​'\n")).otherwise(F.lit("print(sys.argv, 'dumps')   \n")),
-        F.when(F.col("doc_id") % 7 == 0, F.lit("def broken(:\n")).otherwise(F.lit("")),
-    )
-    sources = _table(spark, sf_dir, "documents").select("doc_id", body.alias("text"))
-    artifacts = artifacts_from_text(sources, "doc_id", "text", F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit(".py")))
-    done = transform(artifacts, Options(profile="code"))
-    checks = F.array_join(F.transform("checks", lambda c: F.concat(c["name"], F.lit("="), F.coalesce(c["passed"].cast("string"), F.lit("null")))), ",")
-    return done.select(F.col("artifact_id").alias("doc_id"), "accepted", "all_passed", F.sha2("output", 256).alias("output_sha256"), checks.alias("checks"))
-
-
-@_query("svg_transform")
-def svg_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drawings made from the documents' ids, with metadata to find and to strip."""
-    body = F.concat(
-        F.lit('<svg xmlns="http://www.w3.org/2000/svg" xmlns:x="adobe:ns:meta/">'),
-        F.when(F.col("doc_id") % 2 == 0, F.lit("<metadata>c2pa</metadata>")).otherwise(F.lit("")),
-        F.when(F.col("doc_id") % 3 == 0, F.lit("<x:xmpmeta><g/></x:xmpmeta>")).otherwise(F.lit("")),
-        F.lit("<path d='"), F.col("doc_id").cast("string"), F.lit("'/></svg>"),
-    )
-    drawings = _table(spark, sf_dir, "documents").select("doc_id", body.alias("text"))
-    artifacts = artifacts_from_text(drawings, "doc_id", "text", F.lit("a.svg"))
-    found = findings(artifacts).groupBy("artifact_id").agg(F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
-    done = transform(artifacts).join(found, "artifact_id", "left")
-    return done.select(F.col("artifact_id").alias("doc_id"), "categories", "accepted", "rejected_reason", F.sha2("output", 256).alias("output_sha256"))
-
-
 @_query("report_json")
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole reports with their transformation."""
@@ -499,4 +468,6 @@ def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered(analyze(_artifacts(spark, sf_dir, named=True)))
 
 
+QUERIES |= containers.QUERIES
+SQL |= containers.SQL
 assert set(_OP_SQL) | {"remove_unused_imports"} == set(OPERATIONS)

@@ -11,19 +11,19 @@ from pyspark.sql import functions as F
 
 #: Parts of each injection: an integer pair (start, length) copies from the text, -1 to its end; a string is put in.
 RECIPES: dict[int, list[tuple[int, int] | str]] = {
-    0: [(1, 7), "​", (8, 30), "\n​", (38, -1)],
-    1: ["﻿", (1, -1)],
-    2: ["﻿", (1, 10), "﻿", (11, -1)],
-    3: [(1, 5), "‮", (6, -1)],
-    4: [(1, 5), " ", (6, 5), "　", (11, -1)],
+    0: [(1, 7), "\u200b", (8, 30), "\n\u200b", (38, -1)],
+    1: ["\ufeff", (1, -1)],
+    2: ["\ufeff", (1, 10), "\ufeff", (11, -1)],
+    3: [(1, 5), "\u202e", (6, -1)],
+    4: [(1, 5), "\u00a0", (6, 5), "\u3000", (11, -1)],
     5: [(1, -1), "\U000e0048\U000e0049"],
-    6: [(1, 4), "­", (5, -1)],
+    6: [(1, 4), "\u00ad", (5, -1)],
     7: [(1, 4), "\x07", (5, -1)],
     8: [(1, 20), "\r\n", (21, 20), "\n", (41, -1)],
     9: [(1, 10), "\r", (11, -1)],
-    10: [(1, -1), "️"],
-    11: ["pаypal µm ", (1, -1), " <!-- note -->"],
-    12: [(1, -1), " café"],
+    10: [(1, -1), "\ufe0f"],
+    11: ["p\u0430ypal \u00b5m ", (1, -1), " <!-- note -->"],
+    12: [(1, -1), " cafe\u0301"],
     13: [(1, -1), "  \n\n\n\n\n\nend"],
     14: [(1, -1), "\n1."],
     15: [(1, -1)],
