@@ -237,6 +237,11 @@ _OFFICE = f"""WITH {_D}, o AS (SELECT *, doc_id % 9 <> 4 AS doc, doc_id % 6 <> 1
   q AS (SELECT *, doc AND (wr OR ap OR cu) AS any_of FROM o)"""
 
 
+def _offices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = settled(R.with_office(_documents(spark, sf_dir), "data").select("doc_id", "data"))
+    return A.artifacts_from_binary(files, "doc_id", "data")
+
+
 @_query(
     "office_findings",
     f"""{_OFFICE} SELECT doc_id, CASE WHEN any_of THEN 'office_metadata' ELSE '' END AS categories, CASE WHEN any_of THEN CASE WHEN cu THEN 'warning' ELSE 'notice' END END AS severity,
@@ -245,7 +250,7 @@ _OFFICE = f"""WITH {_D}, o AS (SELECT *, doc_id % 9 <> 4 AS doc, doc_id % 6 <> 1
 )
 def office_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = "office_metadata"
-    return _inspected(_files(spark, sf_dir, R.office)).select(
+    return _inspected(_offices(spark, sf_dir)).select(
         "doc_id", "categories", _of(name)["severity"].alias("severity"), _of(name)["summary"].alias("summary"), _detail(name, "core.creator").alias("creator"),
         _detail(name, "app.Company").alias("company"), _detail(name, "custom.ClientCode").alias("code"),
     )
@@ -276,7 +281,7 @@ _MAIN = "[" + ", ".join(f"'{n}'" for n in R.FOLDERS) + "][(doc_id % 3 + 1)::INT]
   CASE WHEN doc THEN 0 ELSE 2 * wr::INT + ap::INT + cu::INT END::BIGINT AS properties_left FROM q""",
 )
 def office_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = _transformed(_files(spark, sf_dir, R.office)).drop("changes", "output_sha256").withColumn("left", _office_content("output"))
+    done = _transformed(_offices(spark, sf_dir)).drop("changes", "output_sha256").withColumn("left", _office_content("output"))
     return done.select(*[c for c in done.columns if c not in ("output", "left")], "left.parts", F.sha2("left.content", 256).alias("content_sha256"), F.col("left.properties").alias("properties_left"))
 
 
@@ -288,12 +293,13 @@ _NAMES = ("a.png", "b.JPEG", "c.pdf", "d.docx", "e.svg", "f.md", "g.gif")
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    made = [R.png(text), R.jpeg(text), R.pdf(text), R.office(text), R.drawing(text).cast("binary"), text.cast("binary"), R.joined(b"GIF89a\0\0", text)]
+    made = [R.png(text), R.jpeg(text), R.pdf(text), F.col("office"), R.drawing(text).cast("binary"), text.cast("binary"), R.joined(b"GIF89a\0\0", text)]
     data, name = None, None
     for k, (m, n) in enumerate(zip(made, _NAMES, strict=True)):
         data = F.when(R.every(7, k), m) if data is None else data.when(R.every(7, k), m)
         name = F.when(R.every(7, k), F.lit(n)) if name is None else name.when(R.every(7, k), F.lit(n))
-    return A.artifacts_from_binary(_made(spark, sf_dir, data.alias("data"), name.alias("path")), "doc_id", "data", "path")
+    files = settled(R.with_office(_documents(spark, sf_dir), "office").select("doc_id", data.alias("data"), name.alias("path")))
+    return A.artifacts_from_binary(files, "doc_id", "data", "path")
 
 
 _MIXED = "m AS (SELECT doc_id, doc_id % 7 AS k, doc_id % 7 IN (2, 4, 5) AS textual, CASE WHEN doc_id % 7 IN (2, 4, 5) THEN 'text' ELSE 'binary' END AS kind FROM documents)"

@@ -11,9 +11,11 @@ import zlib
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftglass.functions.barrier import settled
+
 def number() -> Column:
     """The document's number."""
     return F.col("doc_id")
@@ -25,8 +27,14 @@ def raw(data: bytes) -> Column:
 
 
 def joined(*parts: Column | bytes) -> Column:
-    """Bytes one after another."""
-    return F.concat(*[raw(p) if isinstance(p, bytes) else p.cast("binary") for p in parts])
+    """Bytes one after another; constant neighbours are one constant."""
+    runs: list[Column | bytes] = []
+    for p in parts:
+        if isinstance(p, bytes) and runs and isinstance(runs[-1], bytes):
+            runs[-1] += p
+        else:
+            runs.append(p)
+    return F.concat(*[raw(p) if isinstance(p, bytes) else p.cast("binary") for p in runs])
 
 
 def only_if(condition: Column, part: Column | bytes) -> Column:
@@ -110,25 +118,26 @@ def segment(marker: int, payload: Column) -> Column:
 def exif() -> Column:
     """An EXIF block in either byte order: the camera's make, and with it a place."""
 
-    def block(written: Callable[[Column, int], Column]) -> Column:
-        n = lambda value, size: written(value if isinstance(value, Column) else F.lit(value), size)
-        entry = lambda tag, kind, count, value: joined(n(tag, 2), n(kind, 2), n(count, 4), value)
+    def block(written: Callable[[Column, int], Column], order: str) -> Column:
+        n = lambda value, size: value.to_bytes(size, order) if isinstance(value, int) else written(value, size)
+        entry = lambda tag, kind, count, *value: [n(tag, 2), n(kind, 2), n(count, 4), *value]
         make = joined(F.lpad(F.pmod(number(), F.lit(100000)).cast("string"), 5, "0"), b" cam\0")  # ten bytes
         main_at, make_at, place_at, degrees_at = 8, 38, 48, 102
-        main = joined(n(2, 2), entry(0x010F, 2, 10, n(make_at, 4)), entry(0x8825, 4, 1, n(place_at, 4)), n(0, 4))
-        side = lambda letter: joined(letter, b"\0\0\0")
-        place = joined(
+        main = [n(2, 2), *entry(0x010F, 2, 10, n(make_at, 4)), *entry(0x8825, 4, 1, n(place_at, 4)), n(0, 4)]
+        north, east = F.when(every(2), "N").otherwise("S"), F.when(every(3), "E").otherwise("W")
+        place = [
             n(4, 2),
-            entry(1, 2, 2, side(F.when(every(2), "N").otherwise("S"))),
-            entry(2, 5, 3, n(degrees_at, 4)),
-            entry(3, 2, 2, side(F.when(every(3), "E").otherwise("W"))),
-            entry(4, 5, 3, n(degrees_at + 24, 4)),
+            *entry(1, 2, 2, north, b"\0\0\0"),
+            *entry(2, 5, 3, n(degrees_at, 4)),
+            *entry(3, 2, 2, east, b"\0\0\0"),
+            *entry(4, 5, 3, n(degrees_at + 24, 4)),
             n(0, 4),
-        )
-        degrees = [joined(n(F.pmod(number(), F.lit(most)), 4), n(1, 4), n(F.pmod(number(), F.lit(60)), 4), n(1, 4), n(36, 4), n(10, 4)) for most in (90, 180)]
-        return joined(n(main_at, 4), main, make, place, *degrees)
+        ]
+        minutes = n(F.pmod(number(), F.lit(60)), 4)
+        degrees = [x for most in (90, 180) for x in (n(F.pmod(number(), F.lit(most)), 4), n(1, 4), minutes, n(1, 4), n(36, 4), n(10, 4))]
+        return joined(n(main_at, 4), *main, make, *place, *degrees)
 
-    order = F.when(every(2), joined(b"MM\0*", block(big))).otherwise(joined(b"II*\0", block(little)))
+    order = F.when(every(2), joined(b"MM\0*", block(big, "big"))).otherwise(joined(b"II*\0", block(little, "little")))
     return joined(b"Exif\0\0", order)
 
 
@@ -183,23 +192,26 @@ def pdf(text: Column) -> Column:
 # Office ---------------------------------------------------------------------------------------------------------
 
 
-def archive(members: list[tuple[Column, Column, Column]]) -> Column:
-    """A ZIP archive of stored members: (name, content, whether it is there)."""
-    local, central, offset = [], [], F.lit(0).cast("long")
-    count = F.lit(0)
-    for name, content, there in members:
-        content = content.cast("binary")
-        common = joined(
-            b"\x14\0\0\0\0\0\0\0\x21\0", little(F.crc32(content), 4), little(F.octet_length(content), 4), little(F.octet_length(content), 4), little(F.octet_length(name), 2), b"\0\0"
-        )
-        body = only_if(there, joined(b"PK\x03\x04", common, name, content))
-        local.append(body)
-        central.append(only_if(there, joined(b"PK\x01\x02\x14\0", common, b"\0\0\0\0\0\0\0\0\0\0", little(offset, 4), name)))
-        offset = offset + F.octet_length(body)
-        count = count + F.when(there, 1).otherwise(0)
-    index = joined(*central)
-    end = joined(b"PK\x05\x06\0\0\0\0", little(count, 2), little(count, 2), little(F.octet_length(index), 4), little(offset, 4), b"\0\0")
-    return joined(*local, index, end)
+def with_archive(df: DataFrame, members: list[tuple[Column, Column, Column]], out: str) -> DataFrame:
+    """``df`` with a ZIP archive of stored members (name, content, whether it is there) as a column.
+
+    Contents, members and the index are columns of their own, one settled after the other, so that none is
+    written out where a later one uses it.
+    """
+    n = range(len(members))
+    df = settled(df.select("*", *[x.alias(f"_{w}{k}") for k, m in enumerate(members) for w, x in zip(("name", "body", "there"), m, strict=True)]))
+    sized = [F.octet_length(f"_body{k}") for k in n]
+    common = [joined(b"\x14\0\0\0\0\0\0\0\x21\0", little(F.crc32(F.col(f"_body{k}").cast("binary")), 4), little(sized[k], 4), little(sized[k], 4), little(F.octet_length(f"_name{k}"), 2), b"\0\0") for k in n]
+    df = settled(df.select("*", *[c.alias(f"_common{k}") for k, c in enumerate(common)]))
+    local = [only_if(F.col(f"_there{k}"), joined(b"PK\x03\x04", F.col(f"_common{k}"), F.col(f"_name{k}"), F.col(f"_body{k}"))) for k in n]
+    df = settled(df.select("*", *[x.alias(f"_local{k}") for k, x in enumerate(local)]))
+    offsets = [sum((F.octet_length(f"_local{j}") for j in range(k)), F.lit(0)) for k in range(len(members) + 1)]
+    index = [only_if(F.col(f"_there{k}"), joined(b"PK\x01\x02\x14\0", F.col(f"_common{k}"), b"\0\0\0\0\0\0\0\0\0\0", little(offsets[k], 4), F.col(f"_name{k}"))) for k in n]
+    count = sum((F.when(F.col(f"_there{k}"), 1).otherwise(0) for k in n), F.lit(0))
+    df = settled(df.select("*", joined(*index).alias("_index"), little(count, 2).alias("_count"), offsets[-1].alias("_end")))
+    end = joined(b"PK\x05\x06\0\0\0\0", F.col("_count"), F.col("_count"), little(F.octet_length("_index"), 4), little(F.col("_end"), 4), b"\0\0")
+    data = joined(*[F.col(f"_local{k}") for k in n], F.col("_index"), end)
+    return df.select(*[c for c in df.columns if not c.startswith("_")], data.alias(out))
 
 
 FOLDERS = ("word/document.xml", "xl/workbook.xml", "ppt/presentation.xml")
@@ -210,8 +222,11 @@ def escaped_xml(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def office(text: Column) -> Column:
-    """A document, workbook or presentation with the text as its content; every ninth archive is no document."""
+def with_office(df: DataFrame, out: str) -> DataFrame:
+    """``df`` (``doc_id, text``) with a document, workbook or presentation that has the text as its content.
+
+    Every ninth archive is no document.
+    """
     core = F.concat(
         F.lit('<c:p xmlns:c="c" xmlns:d="d">'),
         F.when(~every(6, 1), F.concat(F.lit("<d:creator>Writer "), number_text(), F.lit("</d:creator><c:revision>7</c:revision>"))).otherwise(""),
@@ -221,15 +236,14 @@ def office(text: Column) -> Column:
     custom = F.concat(F.lit('<P xmlns="f"><property name="ClientCode"><v>'), number_text(), F.lit("</v></property></P>"))
     main = F.element_at(F.array(*[F.lit(n) for n in FOLDERS]), F.pmod(number(), F.lit(3)).cast("int") + 1)
     yes = F.lit(True)
-    return archive(
-        [
-            (F.lit("[Content_Types].xml"), F.lit("<Types/>"), ~every(9, 4)),
-            (main, F.concat(F.lit("<doc>"), escaped_xml(text), F.lit("</doc>")), yes),
-            (F.lit("docProps/core.xml"), core, yes),
-            (F.lit("docProps/app.xml"), app, every(2)),
-            (F.lit("docProps/custom.xml"), custom, every(4)),
-        ]
-    )
+    members = [
+        (F.lit("[Content_Types].xml"), F.lit("<Types/>"), ~every(9, 4)),
+        (main, F.concat(F.lit("<doc>"), escaped_xml(F.col("text")), F.lit("</doc>")), yes),
+        (F.lit("docProps/core.xml"), core, yes),
+        (F.lit("docProps/app.xml"), app, every(2)),
+        (F.lit("docProps/custom.xml"), custom, every(4)),
+    ]
+    return with_archive(df, members, out)
 
 
 # Drawings and modules -------------------------------------------------------------------------------------------
