@@ -1,10 +1,9 @@
 r"""Chat formatting in budgeted windows, with Spark expressions alone.
 
-A conversation's turns cost their words plus a fixed number of template tokens.  Prefix sums of these
-costs are cut into strides of half the room that the budget leaves, so that windows begin and end with
-turns and (unless one turn alone is larger than a stride) stay within the budget.  Every window repeats
-the system turn and the last turns of the window before, as far as the history limit goes; repeated turns
-are outside the loss mask.
+Turns cost tokens: those of a column, or their words plus a fixed number for the template.  Prefix sums of these
+costs choose the windows: a window takes turns as long as they fit into the budget beside what it repeats, which
+is the system turn and the last turns of the window before, as far as the history limit goes.  So windows begin
+and end with turns and are as full as their turns allow.  Repeated turns are outside the loss mask.
 
 A turn reads ``### role: text</turn>`` and a line feed.  In roles and texts ``\``, ``<`` and ``#`` become
 ``\b``, ``\l`` and ``\h`` (and ``:`` in roles ``\c``), so neither mark can occur inside and the way back is
@@ -42,6 +41,7 @@ def format_windows(
     text_col: str = "text",
     budget: int = BUDGET,
     history: int = HISTORY,
+    tokens_col: str | None = None,
 ) -> DataFrame:
     """One row per window: ``conv_col, window`` (from 1), ``n_repeated, n_turns, n_tokens, formatted, loss_spans``.
 
@@ -49,42 +49,69 @@ def format_windows(
     ``loss_spans`` are (first, last + 1) code points of ``formatted``: the escaped texts of the assistant
     turns that are new in this window.  Turns are ordered by number, then role, then text; equal rows are
     turns of their own.  Null roles and texts are empty; rows with a null conversation are one conversation;
-    turns with a null number come first.  The system turn is the first turn if its role is ``system``.  A turn
-    that doesn't fit stays whole, in a window over the budget.  An empty table gives an empty result.
+    turns with a null number come first.  The system turn is the first turn if its role is ``system``.  An empty
+    table gives an empty result.
+
+    ``n_tokens`` are the costs of a window's turns: ``tokens_col`` (null: 0) if it is given, as a tokenizer's counts;
+    else words plus TURN_TOKENS.  No window is over the budget if the system turn and the largest other turn fit into it
+    together.  History that doesn't fit beside the next turn isn't repeated; a turn that doesn't fit at all
+    stays whole, in a window of its own over the budget.
     """
-    stride = max(1, (budget - history) // 2)
+    words = F.size(F.array_remove(F.split(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "[ \\t-\\r]+"), "")) + TURN_TOKENS
     turns = conversations.select(
         F.col(f"`{conv_col}`").alias("c"),
         F.col(f"`{turn_col}`").alias("t"),
         F.coalesce(F.col(f"`{role_col}`").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
+        (words if tokens_col is None else F.coalesce(F.col(f"`{tokens_col}`"), F.lit(0))).cast("long").alias("tokens"),
     )
-    words = F.size(F.array_remove(F.split("text", "[ \\t-\\r]+"), ""))
-    turns = turns.withColumn("tokens", (words + TURN_TOKENS).cast("long"))
     order = Window.partitionBy("c").orderBy("t", "role", "text")
     turns = turns.withColumn("at", F.row_number().over(order)).withColumn(
         "before", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")
     )
     turns = turns.withColumn("system", F.first(F.when(F.col("role") == "system", F.struct("role", "text", "tokens"))).over(order))
-    turns = turns.withColumn("cut", F.floor(F.col("before") / stride))
-    turns = turns.withColumn("window", F.dense_rank().over(Window.partitionBy("c").orderBy("cut")))
-    inside = Window.partitionBy("c", "window")
-    turns = turns.withColumn("stop", F.max(F.col("before") + F.col("tokens")).over(inside)).withColumn("first", F.min("at").over(inside))
-    last = F.max("window").over(Window.partitionBy("c"))
-    turns = turns.withColumn("last", last)
+    near = Window.partitionBy("c").orderBy("before").rangeBetween(-history, 0)
+    turns = turns.withColumn("past", F.col("before") - F.min("before").over(near))
+
+    #: Where windows start and how many tokens of history they repeat, from each conversation's costs alone.
+    costs = turns.groupBy("c").agg(
+        F.sort_array(F.collect_list(F.struct("at", "tokens", "before", "past"))).alias("costs"), F.coalesce(F.max("system.tokens"), F.lit(0).cast("long")).alias("held")
+    )
+    start = lambda at, before, repeated: F.struct(at.cast("int").alias("at"), before.cast("long").alias("before"), repeated.cast("long").alias("repeated"))
+
+    def packed(state: Column, x: Column) -> Column:
+        past = F.least(x["past"], x["before"] - state["floor"])
+        past = F.when(F.col("held") + past + x["tokens"] <= budget, past).otherwise(F.lit(0).cast("long"))
+        fits = (x["at"] == 1) | (state["used"] + x["tokens"] <= budget)
+        return F.struct(
+            F.when(fits, state["used"] + x["tokens"]).otherwise(F.col("held") + past + x["tokens"]).alias("used"),
+            F.when(fits, state["floor"]).otherwise(x["before"]).alias("floor"),
+            F.when(fits, state["starts"]).otherwise(F.concat(state["starts"], F.array(start(x["at"], x["before"], past)))).alias("starts"),
+        )
+
+    zero = F.lit(0).cast("long")
+    first = F.struct(zero.alias("used"), F.col("held").alias("floor"), F.array(start(F.lit(1), zero, zero)).alias("starts"))
+    starts = costs.select("c", F.size("costs").alias("n"), F.aggregate("costs", first, packed, lambda s: s["starts"]).alias("starts"))
+    until = lambda k: F.coalesce(F.get(F.col("starts"), k + 1)["at"], F.col("n") + 1)
+    starts = starts.withColumn("windows", F.flatten(F.transform("starts", lambda s, k: F.array_repeat(k + 1, until(k) - s["at"]))))
+    turns = turns.join(starts.withColumnRenamed("c", "c_"), F.equal_null("c", "c_")).withColumn("window", F.get("windows", F.col("at") - 1))
+    turns = turns.withColumn("following", F.get("starts", F.col("window"))).withColumn("opens", F.get("starts", F.col("window") - 1)["at"] == F.col("at"))
 
     own = F.struct("window", F.col("at").cast("long").alias("seq"), F.lit(True).alias("new"), "role", "text", "tokens")
-    repeats_system = F.col("system").isNotNull() & (F.col("window") > 1)
     again = F.struct(
         F.col("window"), F.lit(0).cast("long").alias("seq"), F.lit(False).alias("new"), F.col("system.role").alias("role"), F.col("system.text").alias("text"), F.col("system.tokens").alias("tokens")
     )
-    past = F.struct(
+    repeated = F.struct(
         (F.col("window") + 1).alias("window"), F.col("at").cast("long").alias("seq"), F.lit(False).alias("new"), "role", "text", "tokens"
     )
     is_system = F.col("system").isNotNull() & (F.col("at") == 1)
-    kept_past = (F.col("window") < F.col("last")) & (F.col("stop") - F.col("before") <= history) & ~is_system
+    stays = F.col("before") >= F.col("following.before") - F.col("following.repeated")
     parts = F.array_compact(
-        F.array(own, F.when(repeats_system & (F.col("at") == F.col("first")), again), F.when(kept_past, past))
+        F.array(
+            own,
+            F.when(F.col("opens") & (F.col("window") > 1) & F.col("system").isNotNull(), again),
+            F.when(F.coalesce(stays, F.lit(False)) & ~is_system, repeated),
+        )
     )
     rows = turns.select("c", F.explode(parts).alias("x")).select("c", "x.*")
     head = F.concat(F.lit(OPEN), escape(F.col("role"), True), F.lit(BETWEEN))

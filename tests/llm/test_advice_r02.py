@@ -25,3 +25,38 @@ def test_passage_in_a_long_text_goes_but_a_short_item_does_not(spark):
     df = spark.createDataFrame([(1, f"{filler}{passage} {filler}"), (2, filler + "capital of france"), (3, "the capital of france"), (4, None)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, passage + " more"), (2, "capital of France")], "item_id long, text string")
     assert sorted(r["doc_id"] for r in drop_contaminated(df, bench).collect()) == [2, 4]
+
+
+def test_budget_holds_with_any_system_turn(spark):
+    import random
+
+    from siftglass.llm.chat_format import format_windows, read_back
+
+    rng = random.Random(6)
+    cases = {0: [("system", 64), ("user", 128), ("assistant", 191), ("user", 192), ("assistant", 100)]}
+    for c in range(1, 60):
+        system = rng.choice([0, 4, 30, 200, 400])
+        most = 512 - system
+        turns = [("system", system)] if system else []
+        cases[c] = turns + [(rng.choice(["user", "assistant"]), rng.randint(4, rng.choice([20, 200, most]))) for _ in range(rng.randrange(1, 80))]
+    rows = [(c, k, role, f"t{k} " + "w " * (n - 5) if n > 4 else "", n) for c, turns in cases.items() for k, (role, n) in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n long")
+    for windows in (format_windows(df), format_windows(df.withColumn("text", F_lit_short()), tokens_col="n")):
+        got = windows.collect()
+        for w in got:
+            turns = cases[w["conv_id"]]
+            if (turns[0][1] if turns[0][0] == "system" else 0) + max(n for _, n in turns) <= 512:
+                assert w["n_tokens"] <= 512
+            assert w["n_repeated"] < w["n_turns"]
+    full = format_windows(df)
+    back = {r["conv_id"]: r for r in read_back(full).collect()}
+    assert all(back[c]["n_turns"] == len(turns) for c, turns in cases.items())
+    even = spark.createDataFrame([(1, k, "user", "w " * 16) for k in range(400)], "conv_id long, turn long, role string, text string")
+    sizes = [w["n_tokens"] for w in format_windows(even).collect()]
+    assert sorted(sizes)[1:] == [500] * (len(sizes) - 1) and max(w["n_repeated"] for w in format_windows(even).collect()) == 6
+
+
+def F_lit_short():
+    from pyspark.sql import functions as F
+
+    return F.lit("short")
