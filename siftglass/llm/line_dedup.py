@@ -13,8 +13,12 @@ from siftglass.llm.common import written
 
 #: A line is boilerplate of a host if it stands in more than this share of the host's pages, ...
 MAX_RATIO = 0.05
-#: ... and in at least so many of them: on a host with few pages, shares say nothing.
+#: ... and in at least so many of them, or on a smaller host in more than half of its pages, but three at least: on few
+#: pages a small share says nothing, and two pages with the same lines may be copies.
 MIN_PAGES = 5
+LEAST_PAGES = 3
+#: What is cut off at the ends of a line before it is compared: U+0020 and U+0009 to U+000D.
+BLANKS = " \t\n\x0b\x0c\r"
 #: Boilerplate of all hosts up to this many bytes is broadcast; more is joined to the pages by host and salt.
 BROADCAST_BYTES = 8 << 20
 #: Parts that a host's pages are dealt into for that join.
@@ -45,8 +49,8 @@ def line_dedup(
 ) -> DataFrame:
     """One row per page: ``id_col``, the columns ``keep``, ``n_lines, n_dropped, text``.
 
-    Lines are cut at U+000A and compared without blanks at their ends; lines without other characters don't
-    count and stay.  A line that stands several times on one page counts once for that page, and all its
+    Lines are cut at U+000A and compared without BLANKS at their ends, so that CRLF files and others agree; lines
+    without other characters don't count and stay.  A line that stands several times on one page counts once for that page, and all its
     occurrences are dropped.  A page is a row: repeated rows are pages of their own.  Pages with a null host
     share no host, so none of their lines is dropped.  A null text stays null and has no lines.  An empty
     table gives an empty result.
@@ -72,12 +76,13 @@ def line_dedup(
         .select("host", F.explode(lines).alias("line"))
         .groupBy("host", "line")
         .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= min_pages)
+        .where(F.col("n") >= min(min_pages, LEAST_PAGES))
     )
     n_pages = F.count_distinct(F.xxhash64("text"), F.xxhash64("text", F.lit(1))) if copies_once else F.count("*")
     totals = hosted.groupBy("host").agg(n_pages.alias("total"))
+    enough = F.least(F.lit(min_pages), F.greatest(F.lit(LEAST_PAGES), F.floor(F.col("total") / 2) + 1))
     common = (
-        counts.join(totals, "host").where(F.col("n") / F.col("total") > max_ratio).groupBy("host").agg(F.collect_set("line").alias("common"))
+        counts.join(totals, "host").where((F.col("n") / F.col("total") > max_ratio) & (F.col("n") >= enough)).groupBy("host").agg(F.collect_set("line").alias("common"))
     )
     common = written(common, "boilerplate")
     size = common.select(F.sum(F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 16) + F.octet_length("host"))).first()
@@ -88,7 +93,9 @@ def line_dedup(
         out = salted.join(common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
     all_lines = F.split("text", "\n")
     none = F.col("common").isNull()
-    kept = F.when(none, all_lines).otherwise(F.filter(all_lines, lambda x: ~F.array_contains(F.col("common"), _bare(x))))
+    #: The host's list is looked through once for a page, by hashing; lines are then compared with the few that it has.
+    out = out.withColumn("here", F.array_intersect(F.transform(all_lines, _bare), F.col("common")))
+    kept = F.when(none, all_lines).otherwise(F.filter(all_lines, lambda x: ~F.array_contains(F.col("here"), _bare(x))))
     counted = F.size(F.filter(all_lines, lambda x: _bare(x) != ""))
     out = out.withColumn("kept", kept)
     if copies_once:
@@ -103,4 +110,4 @@ def line_dedup(
 
 
 def _bare(line: Column) -> Column:
-    return F.trim(line)
+    return F.btrim(line, F.lit(BLANKS))

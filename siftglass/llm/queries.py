@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftglass.llm.common import scratch_path, table
+from siftglass.llm.common import table
 
 
 def _tokenizer(name: str) -> str:
@@ -31,6 +31,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 OP2_SQL = r"""
 WITH base AS (
   SELECT page_id, lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1), '')) AS host,
@@ -38,18 +39,18 @@ WITH base AS (
   FROM pages),
 seen AS (
   SELECT host, line, count(*) AS n FROM (
-    SELECT host, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x)), lambda x: x <> ''))) AS line
+    SELECT host, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x, {BLANKS})), lambda x: x <> ''))) AS line
     FROM base WHERE host IS NOT NULL)
-  GROUP BY host, line HAVING count(*) >= 5),
+  GROUP BY host, line),
 totals AS (SELECT host, count(*) AS total FROM base WHERE host IS NOT NULL GROUP BY host),
-common AS (SELECT host, list(line) AS common FROM seen JOIN totals USING (host) WHERE n::DOUBLE / total > 0.05::DOUBLE GROUP BY host),
+common AS (SELECT host, list(line) AS common FROM seen JOIN totals USING (host) WHERE n::DOUBLE / total > 0.05::DOUBLE AND n >= least(5, greatest(3, total // 2 + 1)) GROUP BY host),
 cut AS (
-  SELECT page_id, lines, list_filter(lines, lambda x: NOT coalesce(list_contains(common, trim(x)), false)) AS kept
+  SELECT page_id, lines, list_filter(lines, lambda x: NOT coalesce(list_contains(common, trim(x, {BLANKS})), false)) AS kept
   FROM base LEFT JOIN common USING (host))
-SELECT page_id, coalesce(len(list_filter(lines, lambda x: trim(x) <> '')), 0)::BIGINT AS n_lines,
+SELECT page_id, coalesce(len(list_filter(lines, lambda x: trim(x, {BLANKS}) <> '')), 0)::BIGINT AS n_lines,
   coalesce(len(lines) - len(kept), 0)::BIGINT AS n_dropped, sha256(array_to_string(kept, chr(10))) AS kept_sha256
 FROM cut
-"""
+""".replace("{BLANKS}", _BLANKS)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +61,9 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siftglass.llm.token_count import token_counts
+    from siftglass.llm.token_count import cache_of, token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), scratch_path(spark, "token_cache"))
+    return token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), cache_of(spark, sf_dir))
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

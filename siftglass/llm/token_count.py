@@ -2,7 +2,7 @@
 
 A text's normalised content (null becomes empty; UTF-8 otherwise as it is) and the tokenizer's file are
 digested.  Stored counts are joined on both digests; only the distinct texts that the cache lacks are
-encoded, once each, and their counts are appended to it.
+encoded, once each, and their counts are appended to it.  With a full cache no text leaves its partition.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftglass.llm.common import arrow_map, written
+from siftglass.llm.common import arrow_map, shared_dir, written
 
 CACHE = T.StructType(
     [
@@ -67,6 +67,11 @@ def read_cache(spark: Any, path: str) -> DataFrame:
     return spark.read.schema(CACHE).parquet(path)
 
 
+def cache_of(spark: Any, corpus: str) -> str:
+    """Where the counts of one corpus are kept: in the shared folder, under the digest of the corpus' own path."""
+    return f"{shared_dir(spark)}/token_cache/{hashlib.sha256(corpus.encode()).hexdigest()[:32]}"
+
+
 def _groups(texts: list[str]) -> Iterator[list[str]]:
     group: list[str] = []
     size = 0
@@ -102,19 +107,14 @@ def token_counts(
     keyed = documents.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).withColumn(
         "content", F.unhex(F.sha2(F.col("text").cast("binary"), 256))
     )
+    #: Digests alone are compared with the cache; of each one that it lacks, one row is to be encoded.
     known = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("content")
-    misses = keyed.select("content", "text").dropDuplicates(["content"]).join(known, "content", "left_anti")
-    schema = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = None
-        for batch in batches:
-            count = count or counter(tokenizer_path)
-            n = [x for group in _groups(batch.column(1).to_pylist()) for x in count(group)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["content", "n_tokens"])
-
-    found = arrow_map(misses, encode, schema)
-    found.select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache_path)
+    digests = keyed.groupBy("content").agg(F.min("id").alias("least"))
+    misses = written(digests.join(known, "content", "left_anti").select(F.col("content").alias("missed"), "least"), "misses")
+    if misses.limit(1).count():
+        _encode(keyed.join(misses, (F.col("content") == F.col("missed")) & F.equal_null("id", "least")).select("content", "text"), tokenizer_path).select(
+            F.lit(version).alias("tokenizer"), "content", "n_tokens"
+        ).write.mode("append").parquet(cache_path)
     stored = (
         read_cache(spark, cache_path)
         .where(F.col("tokenizer") == version)
@@ -122,8 +122,29 @@ def token_counts(
         .agg(F.max("n_tokens").alias("n_tokens"))
     )
     #: Written, so that the join below has a plain shuffle on either side and a hot text's rows can be split.
-    stored = written(stored, "counts")
+    stored = written(stored.join(digests.select("content"), "content", "left_semi"), "counts")
     sizes = keyed.select("id", "content", F.octet_length("text").cast("long").alias("n_bytes"))
     return sizes.join(stored, "content").select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
+
+
+def _encode(texts: DataFrame, tokenizer_path: str) -> DataFrame:
+    """``content, n_tokens`` of rows ``content, text``; rows that repeat a digest, which meet in one task, give one."""
+    schema = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = None
+        done: set[bytes] = set()
+        for batch in batches:
+            count = count or counter(tokenizer_path)
+            fresh: dict[bytes, int] = {}
+            for k, content in enumerate(batch.column(0).to_pylist()):
+                if content not in done:
+                    fresh.setdefault(content, k)
+            done.update(fresh)
+            texts = batch.column(1).take(pa.array(list(fresh.values()), pa.int64())).to_pylist()
+            n = [x for group in _groups(texts) for x in count(group)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.binary()), pa.array(n, pa.int64())], names=["content", "n_tokens"])
+
+    return arrow_map(texts, encode, schema)

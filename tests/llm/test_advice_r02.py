@@ -60,3 +60,52 @@ def F_lit_short():
     from pyspark.sql import functions as F
 
     return F.lit("short")
+
+
+def test_second_run_of_the_query_encodes_nothing(spark, monkeypatch):
+    from siftglass.llm import queries, token_count
+
+    data = "/root/testdata/sf0.001"
+    first = sorted(map(str, queries.op4_token_counts(spark, data).collect()))
+    stored = spark.read.parquet(token_count.cache_of(spark, data)).count()
+
+    def encode(texts, path):
+        raise AssertionError("nothing is left to encode")
+
+    monkeypatch.setattr(token_count, "_encode", encode)
+    assert sorted(map(str, queries.op4_token_counts(spark, data).collect())) == first
+    assert spark.read.parquet(token_count.cache_of(spark, data)).count() == stored
+
+
+def test_line_ends_and_small_hosts(spark):
+    from pyspark.sql import functions as F
+
+    from siftglass.llm.line_dedup import line_dedup
+
+    rows = [(k, "a", f"menu{'\r' * (k % 2)}\nown {k}\r\n\t\n \x0b ") for k in range(8)]
+    rows += [(10 + k, "b", f"menu\nown {k}") for k in range(3)] + [(20 + k, "c", f"menu\nown {k}" if k else "own") for k in range(4)]
+    rows += [(30 + k, "d", "same\nlines") for k in range(2)] + [(40 + k, "e", f"menu\nown {k}" if k < 2 else "own") for k in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, host string, text string")
+    got = {r["page_id"]: r for r in line_dedup(df, F.col("host"), F.col("text")).collect()}
+    assert all(got[k]["n_dropped"] == 1 and got[k]["n_lines"] == 2 for k in range(8))
+    assert all(got[10 + k]["text"] == f"own {k}" for k in range(3))
+    assert all("menu" not in got[20 + k]["text"] for k in range(4))
+    assert all(got[k]["n_dropped"] == 0 for k in (30, 31, 40, 41))
+
+
+def test_registered_queries_against_their_sql(spark):
+    import duckdb
+
+    from siftglass.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    connection = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        connection.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        result = connection.execute(sql)
+        names = [d[0] for d in result.description]
+        expected = sorted(str([r[names.index(n)] for n in sorted(names)]) for r in result.fetchall())
+        df = queries.queries()[name](spark, data)
+        assert sorted(df.columns) == sorted(names)
+        assert sorted(str([r[n] for n in sorted(names)]) for r in df.collect()) == expected, name
