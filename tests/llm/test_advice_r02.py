@@ -109,3 +109,33 @@ def test_registered_queries_against_their_sql(spark):
         df = queries.queries()[name](spark, data)
         assert sorted(df.columns) == sorted(names)
         assert sorted(str([r[n] for n in sorted(names)]) for r in df.collect()) == expected, name
+
+
+def test_scores_are_those_of_brute_force_voting(spark):
+    import math
+    import random
+
+    import numpy as np
+
+    from siftglass.llm import quality_knn as Q
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8)))
+    texts = {i: " ".join(word() for _ in range(rng.randrange(5, 60))) for i in range(300)}
+    texts |= {400: None, 401: "", 402: "abc", 403: "日本語テキスト"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model = Q.fit(df, spark.createDataFrame([(i, i % 3 % 2) for i in range(200)], "doc_id long, quality int"))
+    got = {r["doc_id"]: r["score"] for r in Q.classify(df, model).collect()}
+    assert set(got) == set(texts)
+    points, labels = model.points.astype(float).tolist(), model.labels.tolist()
+    for i, text in texts.items():
+        row = model.project(Q.terms((text or "").encode())[None])[0].astype(float)
+        cosines = [sum(a * b for a, b in zip(row, p)) for p in points]
+        nearest = sorted(range(len(points)), key=lambda k: -cosines[k])[: Q.NEIGHBOURS]
+        weights = [max(cosines[k], 0) ** Q.SHARPNESS for k in nearest]
+        total = sum(weights)
+        expected = sum(w * labels[k] for w, k in zip(weights, nearest)) / total if total > 1e-9 else sum(labels) / len(labels)
+        assert math.isclose(got[i], expected, abs_tol=1e-3), i
+    same_shape = [Q.terms(t)[None] for t in (b"good words in here", b"evil wards on hare")]
+    assert np.array_equal(same_shape[0][:, : Q.COLUMNS], same_shape[1][:, : Q.COLUMNS])
+    assert not np.allclose(same_shape[0], same_shape[1])
