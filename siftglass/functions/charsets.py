@@ -77,6 +77,11 @@ OTHER_CLASS = regex_class(OTHER_INVISIBLE)
 VARIATION_CLASS = "[\\x{FE00}-\\x{FE0F}\\x{E0100}-\\x{E01EF}]"
 TAG_CLASS = "[\\x{E0000}-\\x{E007F}]"
 CONTROL_CLASS = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]"
+#: Any character of the seven classes.
+ANY_HIDDEN = "[" + "".join(c[1:-1] for c in (ZERO_WIDTH_CLASS, BIDI_CLASS, SPACE_CLASS, OTHER_CLASS, VARIATION_CLASS, TAG_CLASS, CONTROL_CLASS)) + "]"
+#: Coarse classes of few ranges that hold every letter of another script, and every one whose name is Latin.
+MAYBE_OTHER = "[\\x{AA}\\x{B5}\\x{BA}\\x{250}-\\x{10FFFF}]"
+MAYBE_LATIN = "[A-Za-z\\x{AA}-\\x{2AF}\\x{1D00}-\\x{1EFF}\\x{2071}-\\x{2184}\\x{2C60}-\\x{2C7F}\\x{A722}-\\x{AB6F}\\x{FB00}-\\x{FB06}\\x{FF21}-\\x{FF5A}\\x{10780}-\\x{107BF}\\x{1DF00}-\\x{1DFFF}]"
 #: Runs of two or more letters and letter-like numbers.
 LETTER_RUN = "[\\p{L}\\p{Nl}\\p{No}]{2,}"
 #: Texts below U+0300 are in every composed normal form's fixed set.

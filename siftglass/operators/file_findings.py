@@ -6,12 +6,13 @@ Only artifacts that a signature or media type lets in reach Python, in Arrow bat
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siftglass.functions import images, office, pdfs
 from siftglass.operators.artifacts import is_jpeg, is_pdf, is_png, is_zip
@@ -144,34 +145,39 @@ def detect(data: bytes, text: str | None, kind: str, media: str | None) -> tuple
     return findings, status
 
 
-def container_artifacts(artifacts: DataFrame) -> DataFrame:
-    """The artifacts that a container detector may apply to."""
-    data = F.col("data")
-    return artifacts.where(is_png(data) | is_jpeg(data) | is_pdf(data) | is_zip(data) | (F.col("media_type") == "image/svg+xml"))
+DETECTED = T.StructType([T.StructField("findings", T.ArrayType(FINDING)), T.StructField("statuses", T.ArrayType(STATUS))])
+
+
+def is_container(data: Column, media_type: Column) -> Column:
+    """Whether a container detector may apply."""
+    return is_png(data) | is_jpeg(data) | is_pdf(data) | is_zip(data) | F.coalesce(media_type == "image/svg+xml", F.lit(False))
+
+
+@F.arrow_udf(DETECTED)
+def _detected(data: pa.Array, text: pa.Array, kind: pa.Array, media: pa.Array) -> pa.Array:
+    rows: list[dict[str, object] | None] = []
+    for one in zip(data.to_pylist(), text.to_pylist(), kind.to_pylist(), media.to_pylist(), strict=True):
+        if one[0] is None:
+            rows.append(None)
+            continue
+        findings, states = detect(*one)
+        rows.append({"findings": findings, "statuses": [dict(zip(STATUS.names, s, strict=True)) for s in states]})
+    return pa.array(rows, _DETECTED_KIND)
+
+
+_DETECTED_KIND = to_arrow_type(DETECTED)
+
+
+def detected() -> Column:
+    """The findings and detector states of a row's container; null, and nothing sent to Python, for other artifacts."""
+    apt = is_container(F.col("data"), F.col("media_type"))
+    return _detected(F.when(apt, F.col("data")), F.when(apt, F.col("text")), F.col("kind"), F.col("media_type"))
 
 
 def inspected_containers(artifacts: DataFrame) -> DataFrame:
     """``artifact_id, findings, statuses`` of the artifacts that a container detector may apply to."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    schema = T.StructType(
-        [
-            T.StructField("artifact_id", artifacts.schema["artifact_id"].dataType),
-            T.StructField("findings", T.ArrayType(FINDING)),
-            T.StructField("statuses", T.ArrayType(STATUS)),
-        ]
-    )
-    kinds = [to_arrow_type(f.dataType) for f in schema.fields[1:]]
-    names = schema.names
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [detect(*values) for values in zip(*[batch.column(k).to_pylist() for k in range(1, 5)], strict=True)]
-            states = [[dict(zip(("name", "ran", "reason"), s, strict=True)) for s in r[1]] for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], kinds[0]), pa.array(states, kinds[1])], names=names)
-
-    chosen = container_artifacts(artifacts).select("artifact_id", "data", "text", "kind", "media_type")
-    return chosen.mapInArrow(run, schema)
+    chosen = artifacts.where(is_container(F.col("data"), F.col("media_type")))
+    return chosen.select("artifact_id", detected().alias("d")).select("artifact_id", "d.*")
 
 
 def file_findings(artifacts: DataFrame) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftglass.operators import registry
-from siftglass.operators.file_findings import DETECTORS, STATUS, file_findings, inspected_containers
-from siftglass.operators.text_findings import FINDING, text_findings
+from siftglass.operators.file_findings import DETECTORS, STATUS, detected
+from siftglass.operators.text_findings import FINDING, with_text_findings
 
 # Ranks of severities, and notes of the summary.
 SEVERITIES = {"info": 0, "notice": 1, "warning": 2}
@@ -32,9 +32,21 @@ NOTE_EMBEDDED = (
 )
 
 
+def with_findings(artifacts: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of each artifact with ``kind, textual, findings`` and ``statuses`` of its container (or null).
+
+    One row and one pass for each artifact, whatever its id: nothing is joined, and bytes and texts end here.
+    """
+    box = artifacts.select(*keep, *[c for c in ("kind", "text") if c not in keep], detected().alias("_box"))
+    found = with_text_findings(box, "_own")
+    every = F.concat("_own", F.coalesce(F.col("_box.findings"), F.array().cast(EMPTY_FINDINGS)))
+    return found.select(*keep, *[c for c in ("kind",) if c not in keep], F.col("text").isNotNull().alias("textual"), every.alias("findings"), F.col("_box.statuses").alias("statuses"))
+
+
 def findings(artifacts: DataFrame) -> DataFrame:
     """All findings, one row each."""
-    return text_findings(artifacts).unionByName(file_findings(artifacts))
+    found = with_findings(artifacts, ["artifact_id"])
+    return found.select("artifact_id", F.explode("findings").alias("f")).select("artifact_id", "f.*")
 
 
 def severity_rank(severity: Column) -> Column:
@@ -51,67 +63,63 @@ def at_least(found: DataFrame, severity: str) -> DataFrame:
     return found.where(severity_rank(F.col("severity")) >= SEVERITIES[severity])
 
 
-def inspector_lists(artifacts: DataFrame) -> DataFrame:
-    """``artifact_id, inspectors``: how each detector fared, in their order."""
-    because = F.concat(F.lit("not applicable to a "), F.col("kind"), F.lit(" artifact"))
+def inspectors(kind: Column, textual: Column, states: Column) -> Column:
+    """How each detector fared with an artifact, in their order."""
+    because = F.concat(F.lit("not applicable to a "), kind, F.lit(" artifact"))
 
     def status(name: str, applies: Column) -> Column:
         return F.struct(F.lit(name).alias("name"), applies.alias("ran"), F.when(~applies, because).alias("reason"))
 
-    textual = F.col("text").isNotNull()
-    own = F.array(status("unicode", textual), status("text_markers", textual & (F.col("kind") != "source_code")))
+    own = F.array(status("unicode", textual), status("text_markers", textual & (kind != "source_code")))
     absent = F.array(*[status(n, F.lit(False)) for n in DETECTORS])
-    found = inspected_containers(artifacts).select(F.col("artifact_id").alias("_id"), "statuses")
-    joined = artifacts.join(found, F.equal_null(artifacts["artifact_id"], F.col("_id")), "left")
-    every = F.concat(own.cast(T.ArrayType(STATUS)), F.coalesce("statuses", absent.cast(T.ArrayType(STATUS))))
-    return joined.select("artifact_id", every.alias("inspectors"))
+    return F.concat(own.cast(T.ArrayType(STATUS)), F.coalesce(states, absent.cast(T.ArrayType(STATUS))))
 
 
 def statuses(artifacts: DataFrame) -> DataFrame:
     """``artifact_id, name, ran, reason`` of every detector and artifact: a skip is never silent."""
-    lists = inspector_lists(artifacts)
-    return lists.select("artifact_id", F.explode("inspectors").alias("s")).select("artifact_id", "s.*")
+    told = artifacts.select("artifact_id", "kind", F.col("text").isNotNull().alias("textual"), detected().alias("d"))
+    every = inspectors(F.col("kind"), F.col("textual"), F.col("d.statuses"))
+    return told.select("artifact_id", F.explode(every).alias("s")).select("artifact_id", "s.*")
 
 
-def unknown_signals(artifacts: DataFrame) -> DataFrame:
+def unknown_signals(spark: SparkSession) -> DataFrame:
     """``artifact_kind, unknown_signals``: for each kind, the signals that can't be checked, in registry order."""
-    rows = registry.undetectable_signals(artifacts.sparkSession)
+    rows = registry.undetectable_signals(spark)
     name = F.concat("provider", F.lit(":"), "signal", F.lit(" ("), "detectability", F.lit(")"))
     ordered = F.array_sort(F.collect_list(F.struct("ordinal", name.alias("name"))))
     return rows.groupBy("artifact_kind").agg(F.transform(ordered, lambda x: x["name"]).alias("unknown_signals"))
 
 
-def provenance(artifacts: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """``artifact_id, known_signals, unknown_signals, confidence, notes``: one row per artifact.
+def with_provenance(found: DataFrame) -> DataFrame:
+    """``found`` (with ``kind`` and ``findings``) with ``known_signals, unknown_signals, confidence, notes``.
 
-    One shuffle, of summaries: each finding is reduced to its name and class before.
+    Only the signals of each kind, a few rows, are joined.
     """
-    found = findings(artifacts) if found is None else found
-    signed = F.col("evidence_class") == "signed_provenance"
-    verified = signed & (F.get_json_object("details", "$.verification") == "performed")
-    summed = found.groupBy(F.col("artifact_id").alias("_id")).agg(
-        F.array_sort(F.collect_set(F.concat_ws(":", "detector", "category"))).alias("known"),
-        F.max(verified).alias("verified"),
-        F.max(signed & ~F.coalesce(verified, F.lit(False))).alias("unverified"),
-        F.max(F.col("evidence_class") == "embedded_metadata").alias("embedded"),
-    )
-    kinds = unknown_signals(artifacts)
-    joined = artifacts.select("artifact_id", "kind").join(summed, F.equal_null(F.col("artifact_id"), F.col("_id")), "left")
-    joined = joined.join(F.broadcast(kinds), F.col("kind") == F.col("artifact_kind"), "left")
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    none = F.array().cast("array<string>")
+    signed = F.filter("findings", lambda f: f["evidence_class"] == "signed_provenance")
+    performed = lambda f: F.coalesce(F.get_json_object(f["details"], "$.verification") == "performed", F.lit(False))
+    verified, unverified = F.exists(signed, performed), F.exists(signed, lambda f: ~performed(f))
+    joined = found.join(F.broadcast(unknown_signals(found.sparkSession)), F.col("kind") == F.col("artifact_kind"), "left").drop("artifact_kind")
+    joined = joined.withColumn("unknown_signals", F.coalesce("unknown_signals", none))
     notes = F.array(
-        F.when(yes("verified"), NOTE_VERIFIED).when(yes("unverified"), NOTE_UNVERIFIED),
+        F.when(verified, NOTE_VERIFIED).when(unverified, NOTE_UNVERIFIED),
         F.when(F.size("unknown_signals") > 0, NOTE_UNKNOWN),
-        F.when(yes("embedded"), NOTE_EMBEDDED),
+        F.when(F.exists("findings", lambda f: f["evidence_class"] == "embedded_metadata"), NOTE_EMBEDDED),
     )
-    none = F.array().cast("array<string>")
+    known = F.array_sort(F.array_distinct(F.transform("findings", lambda f: F.concat_ws(":", f["detector"], f["category"]))))
     return joined.select(
-        "artifact_id",
-        F.coalesce("known", none).alias("known_signals"),
-        F.coalesce("unknown_signals", none).alias("unknown_signals"),
-        F.when(yes("verified"), "signal_present").otherwise("insufficient_evidence").alias("confidence"),
+        *[c for c in joined.columns if c != "unknown_signals"],
+        known.alias("known_signals"),
+        "unknown_signals",
+        F.when(verified, "signal_present").otherwise("insufficient_evidence").alias("confidence"),
         F.array_compact(notes).alias("notes"),
     )
 
 
+def provenance(artifacts: DataFrame) -> DataFrame:
+    """``artifact_id, known_signals, unknown_signals, confidence, notes``: one row per artifact."""
+    told = with_provenance(with_findings(artifacts, ["artifact_id"]))
+    return told.select("artifact_id", "known_signals", "unknown_signals", "confidence", "notes")
+
+
 EMPTY_FINDINGS = T.ArrayType(FINDING)

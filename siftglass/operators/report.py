@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftglass.functions.cleaning import OPERATIONS, PROFILES
-from siftglass.operators.inspect import EMPTY_FINDINGS, SEVERITIES, findings, inspector_lists, provenance, severity_rank
-from siftglass.operators.transform import Options, transform
+from siftglass.operators.inspect import SEVERITIES, inspectors, severity_rank, with_findings, with_provenance
+from siftglass.operators.transform import Options, route, transform_containers, transform_text
 
 SCHEMA_VERSION = "1.0"
 TOOL_VERSION = "0.1.0"
@@ -22,21 +22,28 @@ DISCLAIMER = (
 
 
 def analyze(artifacts: DataFrame, options: Options | None = None) -> DataFrame:
-    """One row per artifact: its reference, findings, detectors, provenance and, with options, transformation."""
-    found = findings(artifacts)
-    order = F.array_sort(F.collect_list(F.struct("detector", "category", F.struct(*found.columns[1:]).alias("f"))))
-    grouped = found.groupBy(F.col("artifact_id").alias("_f")).agg(F.transform(order, lambda x: x["f"]).alias("findings"))
-    told = provenance(artifacts, found).withColumnRenamed("artifact_id", "_p")
-    out = artifacts.drop("data", "text").join(grouped, F.equal_null("artifact_id", "_f"), "left")
-    out = out.join(told, F.equal_null("artifact_id", "_p"), "left").drop("_f", "_p")
-    fared = inspector_lists(artifacts).withColumnRenamed("artifact_id", "_i")
-    out = out.join(fared, F.equal_null("artifact_id", "_i"), "left").drop("_i")
-    out = out.withColumn("findings", F.coalesce("findings", F.array().cast(EMPTY_FINDINGS)))
-    out = out.withColumn("schema_version", F.lit(SCHEMA_VERSION)).withColumn("tool_version", F.lit(TOOL_VERSION))
+    """One row per artifact: its reference, findings, detectors, provenance and, with options, transformation.
+
+    Each row is worked on by itself, so rows that share an id are artifacts of their own.
+    """
+    columns = [c for c in artifacts.columns if c not in ("data", "text")]
+
+    def told(part: DataFrame, keep: list[str]) -> tuple[DataFrame, list[Column | str]]:
+        out = with_provenance(with_findings(part, [*columns, *keep]))
+        order = F.array_sort(F.transform("findings", lambda f: F.struct(f["detector"], f["category"], f.alias("f"))))
+        out = out.withColumn("findings", F.transform(order, lambda x: x["f"])).withColumn("inspectors", inspectors(F.col("kind"), F.col("textual"), F.col("statuses")))
+        return out, [*columns, "findings", "known_signals", "unknown_signals", "confidence", "notes", "inspectors", F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(TOOL_VERSION).alias("tool_version")]
+
     if options is None:
-        return out
-    changed = transform(artifacts, options).withColumnRenamed("artifact_id", "_t")
-    return out.join(changed, F.equal_null("artifact_id", "_t"), "left").drop("_t")
+        out, names = told(artifacts, [])
+        return out.select(*names)
+    routed = route(artifacts)
+    done: list[DataFrame] = []
+    for way, change in (("route = 'text'", lambda df: transform_text(df, options, ("_report",))), ("route <> 'text'", lambda df: transform_containers(df, ("_report",)))):
+        out, names = told(routed.where(way), ["data", "text", "route"])
+        changed = change(out.select("artifact_id", "kind", "language", "route", "data", "text", F.struct(*names).alias("_report")))
+        done.append(changed.select("_report.*", *[c for c in changed.columns if c not in ("_report", "artifact_id")]))
+    return done[0].unionByName(done[1])
 
 
 REFERENCE = ("path", "kind", "language", "media_type", "sha256", "size_bytes", "encoding", "decoded")

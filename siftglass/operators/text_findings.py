@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftglass.functions import charsets as C
+from siftglass.functions.barrier import settled
 from siftglass.functions.normalize import other_form
 
 MAX_LOCATIONS = 50
@@ -167,11 +168,16 @@ def line_ending_counts(text: Column) -> tuple[Column, Column, Column]:
 
 
 def mixed_script_words(text: Column) -> Column:
-    """Runs of letters that mix Latin with another script, in order, repetitions included."""
-    runs = F.regexp_extract_all(text, F.lit(C.LETTER_RUN), F.lit(0))
+    """Runs of letters that mix Latin with another script, in order, repetitions included.
+
+    Coarse classes of a few ranges decide first: a text without any character that could be another script's
+    letter isn't cut into runs, and a run is compared with the exact classes only if it has both kinds.
+    """
+    runs = F.when(text.rlike(C.MAYBE_OTHER), F.regexp_extract_all(text, F.lit(C.LETTER_RUN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     latin = C.latin_class()
     other = f"[\\p{{L}}&&[^{latin[1:-1]}]]"
-    return F.filter(runs, lambda w: w.rlike(other) & w.rlike(latin))
+    both = F.filter(runs, lambda w: w.rlike(C.MAYBE_OTHER) & w.rlike(C.MAYBE_LATIN))
+    return F.filter(both, lambda w: w.rlike(other) & w.rlike(latin))
 
 
 def comments(text: Column) -> Column:
@@ -199,19 +205,27 @@ def _comment_finding() -> Column:
     return F.when((F.col("kind") != "source_code") & (n > 0), _finding("text_markers", "markup_comment", "info", summary, n, locations))
 
 
-def text_findings(artifacts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Findings of the textual artifacts: ``artifact_id``, the columns ``keep`` and those of a finding."""
-    base = artifacts.where(F.col("text").isNotNull()).select("artifact_id", *keep, "kind", "text")
+def with_text_findings(df: DataFrame, out: str) -> DataFrame:
+    """``df`` (with ``text`` and ``kind``) with an array of findings as a column; empty for a null text.
+
+    One look for any hidden character decides whether the seven buckets are counted, placed and named at all.
+    """
+    names = df.columns
     text = F.col("text")
-    base = base.select(
-        "*",
-        *[bucket_count(text, c).alias(f"n_{c}") for c in BUCKETS],
-        *[bucket_hits(text, c).alias(f"hits_{c}") for c in BUCKETS],
-        *[n.alias(a) for n, a in zip(line_ending_counts(text), ("crlf", "lf", "cr"), strict=True)],
-        mixed_script_words(text).alias("mixed"),
-        comments(text).alias("comment_bodies"),
-        other_form(text).alias("form"),
+    hidden = F.coalesce(text.rlike(C.ANY_HIDDEN), F.lit(False))
+    none = F.array().cast("array<string>")
+    base = settled(
+        df.select(
+            "*",
+            hidden.alias("hidden"),
+            *[n.alias(a) for n, a in zip(line_ending_counts(text), ("crlf", "lf", "cr"), strict=True)],
+            mixed_script_words(text).alias("mixed"),
+            F.when(F.contains(text, F.lit("<!--")), comments(text)).otherwise(none).alias("comment_bodies"),
+            other_form(text).alias("form"),
+        )
     )
+    base = settled(base.select("*", *[F.when(F.col("hidden"), bucket_hits(text, c)).otherwise(none).alias(f"hits_{c}") for c in BUCKETS]))
+    base = base.select("*", *[F.size(f"hits_{c}").cast("long").alias(f"n_{c}") for c in BUCKETS])
     one = F.lit(1)
     bom_place = F.array(location(text, F.lit(0), one, F.lit(None).cast("string")))
     styles = sum((F.when(F.col(c) > 0, 1).otherwise(0) for c in ("crlf", "lf", "cr")), F.lit(0))
@@ -244,4 +258,11 @@ def text_findings(artifacts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
         ),
         _comment_finding(),
     ]
-    return base.select("artifact_id", *keep, F.explode(F.array_compact(F.array(*found))).alias("f")).select("artifact_id", *keep, "f.*")
+    every = F.when(text.isNotNull(), F.array_compact(F.array(*found))).otherwise(F.array().cast(T.ArrayType(FINDING)))
+    return settled(base.select(*names, every.alias(out)))
+
+
+def text_findings(artifacts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Findings of the textual artifacts: ``artifact_id``, the columns ``keep`` and those of a finding."""
+    base = artifacts.where(F.col("text").isNotNull()).select("artifact_id", *keep, "kind", "text")
+    return with_text_findings(base, "f").select("artifact_id", *keep, F.explode("f").alias("f")).select("artifact_id", *keep, "f.*")

@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 from siftglass.functions import images, office, pdfs, pycode
 from siftglass.functions.barrier import settled
 from siftglass.functions.cleaning import Operation, resolve_operations
-from siftglass.functions.visible import change_count, edit_counts
+from siftglass.functions.normalize import nfc
+from siftglass.functions.visible import STRUCTURE, change_count, edit_counts, skeleton, structure_count, without_controls
 from siftglass.operators.artifacts import is_pdf
 from siftglass.operators.checks import CHECKS, MIN_SIMILARITY, all_passed, failed_names, with_text_checks
 
@@ -125,12 +126,15 @@ def _operation(o: Operation, before: Column, after: Column, edits: Column | None
     return F.struct(F.lit(o.id), F.lit(o.description), F.lit(o.semantics_preserving), before != after, changes, details)
 
 
-def transform_text(artifacts: DataFrame, options: Options = Options()) -> DataFrame:
-    """The text route: imports first (Python only, each removal proven), then the operations in order, then the checks."""
+def transform_text(artifacts: DataFrame, options: Options = Options(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """The text route: imports first (Python only, each removal proven), then the operations in order, then the checks.
+
+    Columns ``keep`` go along and come out last.
+    """
     chosen = resolve_operations(options.profile, list(options.operations) if options.operations else None)
     structural = [o for o in chosen if o.apply is None]
     plain = [o for o in chosen if o.apply is not None]
-    df = artifacts.where(F.col("text").isNotNull()).select("artifact_id", "kind", "language", "data", F.col("text").alias("t0"))
+    df = artifacts.where(F.col("text").isNotNull()).select("artifact_id", "kind", "language", "data", *keep, F.col("text").alias("t0"))
     done: list[tuple[Operation, str, str, Column | None]] = []
     if structural:
         python = F.col("language") == "python"
@@ -159,7 +163,7 @@ def transform_text(artifacts: DataFrame, options: Options = Options()) -> DataFr
         df = df.withColumn("edits", edit_counts([(F.col(a), F.col(b)) for _, a, b, _ in done]))
     steps = [_operation(o, F.col(a), F.col(b), F.get("edits", F.lit(k)) if options.changes else None, why) for k, (o, a, b, why) in enumerate(done)]
     df = df.withColumn("operations", F.array(*steps).cast(T.ArrayType(OPERATION)))
-    df = settled(df.select("artifact_id", "kind", "language", "data", "mid", F.col(last).alias("final"), "proofs", "operations"))
+    df = settled(df.select("artifact_id", "kind", "language", "data", *keep, "mid", F.col(last).alias("final"), "proofs", "operations"))
     df = with_text_checks(df, "mid", "final", options.min_similarity)
     code = F.col("kind") == "source_code"
     df = df.withColumn("code_checks", F.coalesce(_code_checks(F.when(code, F.col("mid")), F.when(code, F.col("final")), F.col("language")), F.array().cast(CHECKS)))
@@ -192,6 +196,7 @@ def transform_text(artifacts: DataFrame, options: Options = Options()) -> DataFr
         F.coalesce(output, F.col("data")).alias("output"),
         F.sha2(output, 256).alias("output_sha256"),
         F.octet_length(output).cast("long").alias("output_size_bytes"),
+        *keep,
     )
 
 
@@ -326,27 +331,61 @@ def route(df: DataFrame) -> DataFrame:
     return df.withColumn("route", way)
 
 
-def transform_containers(routed: DataFrame) -> DataFrame:
-    """The container routes, in Arrow batches."""
+def transform_containers(routed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The container routes, in Arrow batches; columns ``keep`` go along."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema = result_schema(routed.schema["artifact_id"].dataType)
     names = [f.name for f in schema if f.name not in ("artifact_id", "output_sha256")]
-    inner = T.StructType([schema["artifact_id"], *[schema[n] for n in names]])
+    inner = T.StructType([schema["artifact_id"], *[schema[n] for n in names], *[routed.schema[k] for k in keep]])
     kinds = {n: to_arrow_type(schema[n].dataType) for n in names}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [_container(d, r) for d, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             columns = [pa.array([r.get(n) for r in rows], kinds[n]) for n in names]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["artifact_id", *names])
+            kept = [batch.column(3 + k) for k in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *kept], names=["artifact_id", *names, *keep])
+
+    done = routed.select("artifact_id", "data", "route", *keep).mapInArrow(run, inner)
+    return done.withColumn("output_sha256", F.when(F.col("accepted"), F.sha2("output", 256))).select(*schema.names, *keep)
 
-    done = routed.select("artifact_id", "data", "route").mapInArrow(run, inner)
-    return done.withColumn("output_sha256", F.when(F.col("accepted"), F.sha2("output", 256))).select(*schema.names)
 
+def transform(artifacts: DataFrame, options: Options = Options(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every artifact transformed: one row each, the output being the original unless it was accepted.
 
-def transform(artifacts: DataFrame, options: Options = Options()) -> DataFrame:
-    """Every artifact transformed: one row each, the output being the original unless it was accepted."""
+    Columns ``keep`` go along with their row.
+    """
     routed = route(artifacts)
-    text = transform_text(routed.where("route = 'text'"), options)
-    return text.unionByName(transform_containers(routed.where("route <> 'text'")))
+    text = transform_text(routed.where("route = 'text'"), options, keep)
+    return text.unionByName(transform_containers(routed.where("route <> 'text'"), keep))
+
+
+def accepted_profiles(artifacts: DataFrame, profiles: tuple[str, ...]) -> DataFrame:
+    """``artifact_id, profile, accepted`` of each text artifact (no source code) and profile, in one pass.
+
+    Operations that profiles share at their beginning are applied once, and so is what the text before them looks like.
+    A text whose skeleton and structure stay the same passes every check, and no other is accepted, so words
+    are never compared.
+    """
+    text = artifacts.where(F.col("text").isNotNull() & (F.col("kind") != "source_code")).select("artifact_id", F.col("text").alias("t"))
+    made: dict[tuple[str, ...], str] = {(): "t"}
+    ends: dict[str, str] = {}
+    for profile in profiles:
+        ids = [o.id for o in resolve_operations(profile) if o.apply is not None]
+        for k in range(1, len(ids) + 1):
+            if tuple(ids[:k]) not in made:
+                name = made[tuple(ids[:k])] = f"t{len(made)}"
+                step = resolve_operations(None, [ids[k - 1]])[0]
+                assert step.apply is not None
+                text = text.withColumn(name, step.apply(F.col(made[tuple(ids[: k - 1])])))
+        ends[profile] = made[tuple(ids)]
+    sides = list(dict.fromkeys(["t", *ends.values()]))
+    text = settled(text.select("artifact_id", *sides))
+    text = settled(text.select("*", *[nfc(F.col(s)).alias(f"{s}_c") for s in sides]))
+    text = settled(text.select("artifact_id", *[skeleton(F.col(f"{s}_c")).alias(f"{s}_s") for s in sides], *[without_controls(F.col(s)).alias(f"{s}_v") for s in sides]))
+    counted = [F.struct(*[structure_count(F.col(f"{s}_v"), n).alias(n) for n in STRUCTURE]).alias(f"{s}_n") for s in sides]
+    text = settled(text.select("artifact_id", *[f"{s}_s" for s in sides], *counted))
+    same = lambda s: (F.col(f"{s}_s") == F.col("t_s")) & (F.col(f"{s}_n") == F.col("t_n"))
+    each = F.array(*[F.struct(F.lit(p).alias("profile"), same(s).alias("accepted")) for p, s in ends.items()])
+    return text.select("artifact_id", F.explode(each).alias("e")).select("artifact_id", "e.*")

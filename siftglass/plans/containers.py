@@ -20,6 +20,7 @@ from siftglass.operators.file_findings import inspected_containers
 from siftglass.operators.inspect import statuses
 from siftglass.operators.transform import ENCRYPTED, UNSUPPORTED, pdf_checks, transform
 from siftglass.plans import recipes as R
+from siftglass.sources.salt import dealt_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,7 +36,7 @@ def _query(name: str, sql: str) -> Callable[[Query], Query]:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return dealt_out(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _files(spark: SparkSession, sf_dir: str, made: Callable[[Column], Column]) -> DataFrame:

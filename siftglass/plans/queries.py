@@ -13,12 +13,12 @@ from siftglass.functions.normalize import other_form
 from siftglass.functions.visible import STRUCTURE, skeleton, structure_count, without_controls, words
 from siftglass.operators import registry
 from siftglass.operators.artifacts import artifacts_from_text
-from siftglass.operators.inspect import at_least, findings, provenance
-from siftglass.operators.report import analyze, as_json, batch_summary, rendered
+from siftglass.operators.inspect import NOTE_EMBEDDED, NOTE_UNKNOWN, at_least, findings, provenance
+from siftglass.operators.report import MARKS, analyze, as_json, batch_summary, rendered
 from siftglass.operators.text_findings import BUCKETS, bucket_count, bucket_hits, comments, line_ending_counts, mixed_script_words, tag_payload, text_findings
-from siftglass.operators.transform import Options, transform, transform_text
+from siftglass.operators.transform import Options, accepted_profiles, transform_text
 from siftglass.plans import containers
-from siftglass.sources.salt import salted, salted_sql
+from siftglass.sources.salt import dealt_out, salted, salted_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,10 +36,7 @@ def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, dealt out anew if its files give fewer partitions than there are cores (one row group isn't split)."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return dealt_out(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _salted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,9 +350,8 @@ def _acceptance_sql() -> str:
 
 @_query("acceptance_by_profile", _acceptance_sql())
 def acceptance_by_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    artifacts = _artifacts(spark, sf_dir)
-    parts = [transform_text(artifacts, Options(profile=n, changes=False)).select(F.lit(n).alias("profile"), "accepted") for n in ("minimal", "standard", "tidy")]
-    return parts[0].union(parts[1]).union(parts[2]).groupBy("profile", "accepted").agg(F.count("*").alias("artifacts"))
+    done = accepted_profiles(_artifacts(spark, sf_dir), ("minimal", "standard", "tidy"))
+    return done.groupBy("profile", "accepted").agg(F.count("*").alias("artifacts"))
 
 
 _TIDY, _TIDY_LAST = _steps_sql(PROFILES["tidy"])
@@ -431,17 +427,41 @@ def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.providers(spark)
 
 
-@_query("operations_listing")
-def operations_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siftglass.operators.report import operations
+def _quoted(text: str | None) -> str:
+    return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
 
-    return operations(spark)
+
+_LISTED = ", ".join(
+    f"({_quoted(o.id)}, {_quoted(o.description)}, {str(o.semantics_preserving).lower()}, {_quoted(o.note)}, {_quoted(','.join(p for p, ids in PROFILES.items() if o.id in ids))})" for o in OPERATIONS.values()
+)
 
 
+@_query("operations_listing", f"SELECT * FROM (VALUES {_LISTED}) AS t(operation, description, semantics_preserving, note, profiles)")
+def operations_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftglass.operators.report import operations
 
+    return operations(spark).withColumn("profiles", F.array_join("profiles", ","))
+
+
+def _changes_sql() -> str:
+    """Edits by operation: removed characters, but what replaces a character or two is counted by what it replaces."""
+    shorter = "length(a.text) - length(b.text)"
+    special = {
+        "normalize_nfc": f"2 * ({shorter})",
+        "normalize_spaces": f"len(regexp_extract_all(a.text, '{C.SPACE_CLASS}'))",
+        "normalize_line_endings": "length(a.text) - length(replace(a.text, chr(13), ''))",
+        "ensure_final_newline": "1",
+    }
+    ids = PROFILES["standard"]
+    steps, _ = _steps_sql(ids)
+    sums = [
+        f"SELECT '{n}' AS operation, count(*) AS artifacts, sum({special.get(n, shorter)})::BIGINT AS changes FROM {f's{k - 1}' if k else 'salted'} a JOIN s{k} b USING (doc_id) WHERE a.text <> b.text HAVING count(*) > 0"
+        for k, n in enumerate(ids)
+    ]
+    return f"WITH {_S}, {steps} " + " UNION ALL ".join(sums)
 
 
-@_query("change_counts")
+@_query("change_counts", _changes_sql())
 def change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits of each operation of the standard profile."""
     done = transform_text(_artifacts(spark, sf_dir), Options(profile="standard"))
@@ -449,23 +469,83 @@ def change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.groupBy("o.operation").agg(F.count("*").alias("artifacts"), F.sum("o.changes").alias("changes"))
 
 
-@_query("idempotence_violations", "SELECT doc_id FROM documents WHERE false")
+_TWICE, _TWICE_LAST = _steps_sql([*PROFILES["tidy"], *PROFILES["tidy"]])
+
+
+@_query("idempotence_violations", f"WITH {_S}, {_TWICE} SELECT doc_id FROM {_steps_sql(PROFILES['tidy'])[1]} a JOIN {_TWICE_LAST} b USING (doc_id) WHERE a.text <> b.text")
 def idempotence_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose cleaned text isn't clean: there must be none."""
     once = with_cleaned(_salted(spark, sf_dir).where("text IS NOT NULL").select("doc_id", "text"), "text", "a", "tidy")
     return with_cleaned(once, "a", "b", "tidy").where("a <> b").select("doc_id")
 
 
-@_query("report_json")
+@_query(
+    "report_json",
+    f"""WITH p AS ({SQL['provenance_summary']}), t AS ({SQL['profile_standard']}), {_S}
+SELECT doc_id, '1.0' AS schema_version, 'text' AS kind, sha256(text) AS sha256, known, confidence, accepted, CASE WHEN accepted THEN output_sha256 END AS output_sha256,
+  CASE WHEN known = '' THEN 0 ELSE len(string_split(known, ',')) END::BIGINT AS findings FROM salted JOIN p USING (doc_id) JOIN t USING (doc_id)""",
+)
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole reports with their transformation."""
-    return as_json(analyze(_artifacts(spark, sf_dir, named=True), Options(changes=False)))
-
-
-@_query("report_text")
+    """Whole reports with their transformation, read again from their JSON."""
+    report = as_json(analyze(_artifacts(spark, sf_dir), Options(changes=False)))
+    field = lambda path, alias: F.get_json_object("report", f"$.{path}").alias(alias)
+    return report.select(
+        F.col("artifact_id").alias("doc_id"), field("schema_version", "schema_version"), field("artifact.kind", "kind"), field("artifact.sha256", "sha256"),
+        F.array_join(F.from_json(F.get_json_object("report", "$.inspection.provenance.known_signals_detected"), "array<string>"), ",").alias("known"),
+        field("inspection.provenance.confidence", "confidence"), F.get_json_object("report", "$.transformation.accepted").cast("boolean").alias("accepted"), field("transformation.output_sha256", "output_sha256"),
+        F.json_array_length(F.get_json_object("report", "$.inspection.findings")).cast("long").alias("findings"),
+    )
+
+
+def _report_sql() -> str:
+    rows = [
+        f"SELECT doc_id, 'unicode' AS detector, '{c}' AS category, CASE WHEN '{c}' = 'bidi_control' AND kind = 'source_code' THEN 'warning' ELSE '{b[1]}' END AS severity, {_count_sql(c)} AS n, {_count_sql(c)} || ' {c.replace('_', ' ')} character(s) present' AS summary, '{b[2]}' AS removable FROM named"
+        for c, b in BUCKETS.items()
+    ]
+    rows += [
+        f"SELECT doc_id, 'unicode', 'byte_order_mark', 'notice', starts_with(text, {_BOM})::INT, 'File begins with a UTF-8 byte order mark', 'strip_bom' FROM named",
+        "SELECT doc_id, 'unicode', 'unicode_normalization', 'info', (nfc_normalize(text) <> text)::INT, 'Text is not in Unicode NFC normalization form', 'normalize_nfc' FROM named",
+        f"SELECT doc_id, 'unicode', 'mixed_line_endings', 'notice', ((crlf > 0)::INT + (lf > 0)::INT + (cr > 0)::INT > 1)::INT, 'File mixes line ending styles', 'normalize_line_endings' FROM ({_ENDINGS.replace('FROM salted', 'FROM named')})",
+        f"SELECT doc_id, 'unicode', 'mixed_script_word', 'warning', len({_MIXED}), len({_MIXED}) || ' word(s) mix Latin with another script (possible homoglyphs)', NULL FROM named",
+        "SELECT doc_id, 'text_markers', 'markup_comment', 'info', CASE WHEN kind = 'source_code' THEN 0 ELSE len(regexp_extract_all(text, '(?s)<!--(.*?)-->')) END, len(regexp_extract_all(text, '(?s)<!--(.*?)-->')) || ' HTML/XML comment(s) present (not rendered, but present in the source)', NULL FROM named",
+    ]
+    mark = " ".join(f"WHEN '{s}' THEN '{m}'" for s, m in MARKS.items())
+    return f"""WITH {_S}, named AS (SELECT doc_id, text, path, {_KIND} AS kind FROM (SELECT *, {_paths_sql()} AS path FROM salted WHERE text IS NOT NULL)),
+found AS (SELECT * FROM ({' UNION ALL '.join(rows)}) WHERE n > 0),
+lines AS (SELECT doc_id, count(*) AS k, string_agg(CASE severity {mark} END || ' [embedded_metadata] ' || category || ': ' || summary || coalesce(chr(10) || '      removable by: ' || removable, ''), chr(10) ORDER BY detector, category) AS shown
+  FROM found GROUP BY doc_id),
+unknown AS (SELECT artifact_kind, string_agg(chr(10) || '   unknown signal: ' || provider || ':' || signal || ' (' || detectability || ')', '' ORDER BY ordinal) AS signals FROM ({SQL['undetectable_signals']}) GROUP BY artifact_kind)
+SELECT doc_id, sha256('artifact   ' || path || chr(10) || '           kind=' || kind || chr(10) || '           sha256=' || sha256(text) || '  size=' || strlen(text) || 'B' || chr(10) || chr(10)
+  || CASE WHEN k > 0 THEN 'findings (' || k || ')' || chr(10) || shown ELSE 'findings   none' END || chr(10) || chr(10) || 'provenance confidence=insufficient_evidence' || coalesce(signals, '')
+  || CASE WHEN signals IS NOT NULL THEN chr(10) || '   note: ' || {_quoted(NOTE_UNKNOWN)} ELSE '' END || CASE WHEN k > 0 THEN chr(10) || '   note: ' || {_quoted(NOTE_EMBEDDED)} ELSE '' END) AS block_sha256
+FROM named LEFT JOIN lines USING (doc_id) LEFT JOIN unknown ON kind = artifact_kind"""
+
+
+@_query("report_text", _report_sql())
 def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole reports as text."""
-    return rendered(analyze(_artifacts(spark, sf_dir, named=True)))
+    shown = rendered(analyze(_artifacts(spark, sf_dir, named=True)))
+    return shown.select(F.col("artifact_id").alias("doc_id"), F.sha2("block", 256).alias("block_sha256"))
+
+
+_PAIRS = f"""WITH {_S}, pairs AS (SELECT doc_id, text AS a, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN text || ' addedword' WHEN 2 THEN '# ' || text ELSE chr(8203) || text END AS b FROM salted WHERE text IS NOT NULL)"""
+
+
+@_query(
+    "validate_pairs",
+    f"""{_PAIRS} SELECT doc_id, {_skeleton_sql('a')} = {_skeleton_sql('b')} AS visible,
+  len(list_filter(string_split({_skeleton_sql('b')}, ' '), lambda x: x <> '' AND NOT list_contains(string_split({_skeleton_sql('a')}, ' '), x))) = 0 AS additions,
+  {_same_structure_sql().replace('s.text', 'a').replace('c.text', 'b')} AS structure FROM pairs""",
+)
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of the salted texts against changed ones: a word more, a heading mark, a hidden character."""
+    from siftglass.operators.checks import validate_pairs
+
+    text = F.col("text")
+    changed = F.when(F.col("doc_id") % 4 == 0, text).when(F.col("doc_id") % 4 == 1, F.concat(text, F.lit(" addedword"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("# "), text)).otherwise(F.concat(F.lit("\u200b"), text))
+    done = validate_pairs(_salted(spark, sf_dir).where("text IS NOT NULL").select("doc_id", "text", changed.alias("after")), "doc_id", "text", "after")
+    passed = lambda name: F.get(F.filter("checks", lambda c: c["name"] == name), 0)["passed"]
+    return done.select("doc_id", passed("visible_content_preserved").alias("visible"), passed("no_unintended_additions").alias("additions"), passed("structure_preserved").alias("structure"))
 
 
 QUERIES |= containers.QUERIES

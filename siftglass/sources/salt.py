@@ -70,3 +70,9 @@ def salted_sql() -> str:
         made = [f"({sql_text(p)})" if isinstance(p, str) else f"substring(text, {p[0]}, {p[1] if p[1] > 0 else 1 << 30})" for p in parts]
         cases.append(f"WHEN {r} THEN {' || '.join(made)}")
     return f"SELECT doc_id, lang, source, CASE (doc_id % 16 + 16) % 16 {' '.join(cases)} ELSE text END AS text FROM documents"
+
+
+def dealt_out(df: DataFrame) -> DataFrame:
+    """A table as the reader splits it; one of fewer splits than cores, which one row group can't avoid, is dealt out."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -57,3 +57,12 @@ def test_validate_and_listings(spark, tree, capsys, tmp_path):
     assert "zero_width" in capsys.readouterr().out
     (tmp_path / "bad.json").write_text("{}")
     assert main(["report", str(tmp_path / "bad.json")]) == 2
+
+
+def test_a_path_given_twice_is_reported_twice(spark, tree, capsys):
+    path = str(tree / "dirty.md")
+    assert main(["inspect", path, path, "--json"]) == 0
+    reports = json.loads(capsys.readouterr().out)["reports"]
+    assert len(reports) == 2 and all(len(r["inspection"]["findings"]) == 1 for r in reports)
+    assert main(["transform", path, path, "--json"]) == 0
+    assert len(json.loads(capsys.readouterr().out)["reports"]) == 2

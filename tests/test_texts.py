@@ -319,3 +319,27 @@ def test_matching_blocks_are_those_of_the_standard_library():
         edits = sum(max(j - i, m - n) for tag, i, j, n, m in matcher.get_opcodes() if tag != "equal")
         assert compare(a, b) == (sum(x.size for x in matcher.get_matching_blocks()), edits), (a, b)
         assert ratio(a.split(), b.split()) == pytest.approx(difflib.SequenceMatcher(a=a.split(), b=b.split(), autojunk=False).ratio())
+
+
+def test_coarse_classes_hold_all_letters():
+    import sys
+
+    ranges = lambda c: [(int(a, 16), int(b or a, 16)) for a, b in re.findall(r"\\x\{([0-9A-F]+)\}(?:-\\x\{([0-9A-F]+)\})?", c)]
+    inside = lambda p, rs: any(a <= p <= b for a, b in rs)
+    maybe_latin, maybe_other = ranges(C.MAYBE_LATIN), ranges(C.MAYBE_OTHER)
+    for p in range(0x80, sys.maxunicode + 1):
+        if chr(p).isalpha():
+            named = unicodedata.name(chr(p), "").split(" ")[0] == "LATIN"
+            assert inside(p, maybe_latin if named else maybe_other), hex(p)
+
+
+def test_rows_that_share_an_id_are_artifacts_of_their_own(spark):
+    from siftglass.operators.artifacts import artifacts_from_text
+    from siftglass.operators.report import analyze
+    from siftglass.operators.transform import Options
+
+    rows = [(1, "a\u200bb\n"), (1, "clean\n"), (1, "a\u200bb\n"), (None, "x\u200b\n"), (None, "y\n")]
+    artifacts = artifacts_from_text(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+    for options in (None, Options()):
+        got = analyze(artifacts, options).collect()
+        assert sorted(len(r["findings"]) for r in got) == [0, 0, 1, 1, 1]
