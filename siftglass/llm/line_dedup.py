@@ -91,23 +91,28 @@ def line_dedup(
     else:
         salted = base.withColumn("salt", F.pmod(F.xxhash64("id", "text"), F.lit(SALTS)).cast("int"))
         out = salted.join(common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
-    all_lines = F.split("text", "\n")
-    none = F.col("common").isNull()
+    empty = F.array().cast("array<string>")
+    out = _held(out, "lines", F.coalesce(F.split("text", "\n"), empty))
+    out = _held(out, "bare", F.transform("lines", _bare))
     #: The host's list is looked through once for a page, by hashing; lines are then compared with the few that it has.
-    out = out.withColumn("here", F.array_intersect(F.transform(all_lines, _bare), F.col("common")))
-    kept = F.when(none, all_lines).otherwise(F.filter(all_lines, lambda x: ~F.array_contains(F.col("here"), _bare(x))))
-    counted = F.size(F.filter(all_lines, lambda x: _bare(x) != ""))
-    out = out.withColumn("kept", kept)
+    out = _held(out, "here", F.coalesce(F.array_intersect("bare", "common"), empty))
+    stays = F.filter("lines", lambda x, k: ~F.array_contains(F.col("here"), F.get(F.col("bare"), k)))
+    out = _held(out, "kept", F.when(F.size("here") > 0, stays).otherwise(F.col("lines")))
     if copies_once:
-        out = out.withColumn("kept", F.when(F.exists("kept", lambda x: _bare(x) != ""), F.col("kept")).otherwise(all_lines))
+        out = _held(out.withColumnRenamed("kept", "left"), "kept", F.when(F.exists("left", lambda x: _bare(x) != ""), F.col("left")).otherwise(F.col("lines")))
     return out.select(
         F.col("id").alias(id_col),
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
-        F.when(F.col("text").isNull(), 0).otherwise(counted).cast("long").alias("n_lines"),
-        F.when(F.col("text").isNull() | none, 0).otherwise(F.size(all_lines) - F.size("kept")).cast("long").alias("n_dropped"),
-        F.array_join("kept", "\n").alias("text"),
+        F.size(F.array_remove("bare", "")).cast("long").alias("n_lines"),
+        (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
+        F.when(F.col("text").isNotNull(), F.array_join("kept", "\n")).alias("text"),
     )
 
 
+def _held(df: DataFrame, name: str, array: Column) -> DataFrame:
+    """``df`` with a column made once: a generator of one row keeps the optimizer from writing it into each lambda."""
+    return df.select("*", F.explode(F.array(array)).alias(name))
+
+
 def _bare(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANKS))
