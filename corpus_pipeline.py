@@ -1,4 +1,8 @@
-"""The corpus pipeline: five operators of ``siftglass.llm`` in order, each on all that the one before kept."""
+"""The corpus pipeline: five operators of ``siftglass.llm`` in order, each on all that the one before kept.
+
+Every stage takes null texts, ids and sources, empty and repeated rows and an empty table; what it does with them is
+said in its docstring or that of its operator.
+"""
 
 from __future__ import annotations
 
@@ -14,12 +18,15 @@ from siftglass.llm.simhash import near_dedup
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base test or a learned rule go."""
+    """Documents that fail the base test or a learned rule go, null and empty texts with them."""
     return keep_good(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines in too large a share of a source's distinct texts go, but never all of a text; ``n_chars`` follows the text."""
+    """Lines in too large a share of a source's distinct texts go, but never all of a text; ``n_chars`` follows the text.
+
+    Rows without a source keep their lines, and a null text stays null.
+    """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     out = line_dedup(docs, F.col("source"), F.col("text"), "doc_id", keep=others, copies_once=True)
     columns = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
@@ -27,17 +34,17 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, the one with the smallest id; null and empty texts are a group."""
     return near_dedup(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by benchmark items go."""
+    """Documents in which a whole benchmark window occurs go, and those that short items contaminate."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and what they decode to, as digests, of what is left."""
+    """Token ids and what they decode to, as digests, of what is left; a null text has no tokens."""
     import public_tokenizers
 
     return encode_decode(docs, str(public_tokenizers.path("word_bpe_49k.json")), digests=True)

@@ -142,7 +142,8 @@ def read_back(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """One row per conversation from its windows: ``conv_col, n_turns, turns, loss, formatted_chars``.
 
     ``turns`` are the (role, text) pairs without repetitions, ``loss`` the unescaped texts under the loss
-    mask, both in order.
+    mask, both in order.  What was null reads as empty; windows with a null conversation are one conversation;
+    a conversation without windows has no row, and an empty table gives an empty result.
     """
     pieces = F.slice("cut", F.col("n_repeated").cast("int") + 1, F.greatest(F.size("cut") - 1 - F.col("n_repeated").cast("int"), F.lit(0)))
 

@@ -22,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``; only where that setting is
-    absent is a folder below the warehouse used.
+    It is the one the cluster names in ``spark.checkpoint.dir``.  Only a session on one machine may leave
+    that setting out, and then uses a folder below its warehouse.
     """
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not named:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return named.rstrip("/")
 

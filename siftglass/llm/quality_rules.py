@@ -304,7 +304,11 @@ def quality_rules(
 
 
 def keep_good(documents: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
-    """The rows of ``documents`` that pass the base test and that no rule rejects, with their own columns."""
+    """The rows of ``documents`` that pass the base test and that no rule rejects, with their own columns.
+
+    Null and empty texts have no words and go; repeated rows stay or go together; a null id doesn't matter; columns
+    may have any names; an empty table stays empty.
+    """
     inner = [f"c{i}" for i in range(len(documents.columns))]
     plain = documents.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(documents.columns, inner, strict=True)])
     text = inner[documents.columns.index(text_col)]

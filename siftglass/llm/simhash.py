@@ -241,7 +241,8 @@ def near_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``documents`` with one row of each component left: the one with the smallest id, nulls last.
 
     Rows are told apart by id and text, so rows that share an id but not their text are documents of their
-    own, and of repeated rows one stays.
+    own, and of repeated rows one stays.  Null and empty texts are alike (fingerprint zero), so one of them stays.
+    Columns may have any names; an empty table stays empty.
     """
     inner = [f"c{i}" for i in range(len(documents.columns))]
     plain = documents.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(documents.columns, inner, strict=True)])
