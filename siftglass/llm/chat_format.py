@@ -58,8 +58,9 @@ def format_windows(
     stays whole, in a window of its own over the budget.
     """
     words = F.size(F.array_remove(F.split(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "[ \\t-\\r]+"), "")) + TURN_TOKENS
+    #: A struct is never null itself, so the join below needs no other partitioning than the windows before it.
     turns = conversations.select(
-        F.col(f"`{conv_col}`").alias("c"),
+        F.struct(F.col(f"`{conv_col}`").alias("id")).alias("c"),
         F.col(f"`{turn_col}`").alias("t"),
         F.coalesce(F.col(f"`{role_col}`").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
@@ -94,7 +95,7 @@ def format_windows(
     starts = costs.select("c", F.size("costs").alias("n"), F.aggregate("costs", first, packed, lambda s: s["starts"]).alias("starts"))
     until = lambda k: F.coalesce(F.get(F.col("starts"), k + 1)["at"], F.col("n") + 1)
     starts = starts.withColumn("windows", F.flatten(F.transform("starts", lambda s, k: F.array_repeat(k + 1, until(k) - s["at"]))))
-    turns = turns.join(starts.withColumnRenamed("c", "c_"), F.equal_null("c", "c_")).withColumn("window", F.get("windows", F.col("at") - 1))
+    turns = turns.join(starts, "c").withColumn("window", F.get("windows", F.col("at") - 1))
     turns = turns.withColumn("following", F.get("starts", F.col("window"))).withColumn("opens", F.get("starts", F.col("window") - 1)["at"] == F.col("at"))
 
     own = F.struct("window", F.col("at").cast("long").alias("seq"), F.lit(True).alias("new"), "role", "text", "tokens")
@@ -128,7 +129,7 @@ def format_windows(
         F.sort_array(F.collect_list(F.struct("seq", "turn_text", "span"))).alias("parts"),
     )
     return grouped.select(
-        F.col("c").alias(conv_col),
+        F.col("c.id").alias(conv_col),
         F.col("window").cast("long").alias("window"),
         "n_repeated",
         "n_turns",
