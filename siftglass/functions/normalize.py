@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,13 +18,13 @@ def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
-def _form(texts: pd.Series) -> pd.Series:
-    def form(text: str) -> str | None:
-        held = [f for f in ("NFC", "NFD", "NFKC", "NFKD") if unicodedata.is_normalized(f, text)]
+@F.arrow_udf(T.StringType())
+def _form(texts: pa.Array) -> pa.Array:
+    def form(text: str | None) -> str | None:
+        held = [f for f in ("NFC", "NFD", "NFKC", "NFKD") if text is None or unicodedata.is_normalized(f, text)]
         return None if "NFC" in held else (held or ["none"])[0]
 
-    return texts.map(form, na_action="ignore")
+    return pa.array([form(t) for t in texts.to_pylist()], pa.string())
 
 
 def _odd(text: Column) -> Column:

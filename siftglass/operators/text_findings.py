@@ -214,17 +214,15 @@ def with_text_findings(df: DataFrame, out: str) -> DataFrame:
     text = F.col("text")
     hidden = F.coalesce(text.rlike(C.ANY_HIDDEN), F.lit(False))
     none = F.array().cast("array<string>")
-    base = settled(
-        df.select(
-            "*",
-            hidden.alias("hidden"),
-            *[n.alias(a) for n, a in zip(line_ending_counts(text), ("crlf", "lf", "cr"), strict=True)],
-            mixed_script_words(text).alias("mixed"),
-            F.when(F.contains(text, F.lit("<!--")), comments(text)).otherwise(none).alias("comment_bodies"),
-            other_form(text).alias("form"),
-        )
+    base = df.select(
+        "*",
+        hidden.alias("hidden"),
+        *[n.alias(a) for n, a in zip(line_ending_counts(text), ("crlf", "lf", "cr"), strict=True)],
+        mixed_script_words(text).alias("mixed"),
+        F.when(F.contains(text, F.lit("<!--")), comments(text)).otherwise(none).alias("comment_bodies"),
+        other_form(text).alias("form"),
     )
-    base = settled(base.select("*", *[F.when(F.col("hidden"), bucket_hits(text, c)).otherwise(none).alias(f"hits_{c}") for c in BUCKETS]))
+    base = base.select("*", *[F.when(F.col("hidden"), bucket_hits(text, c)).otherwise(none).alias(f"hits_{c}") for c in BUCKETS])
     base = base.select("*", *[F.size(f"hits_{c}").cast("long").alias(f"n_{c}") for c in BUCKETS])
     one = F.lit(1)
     bom_place = F.array(location(text, F.lit(0), one, F.lit(None).cast("string")))
