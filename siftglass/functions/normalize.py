@@ -14,12 +14,14 @@ from siftglass.functions.charsets import COMPOSED
 
 
 @F.pandas_udf(T.StringType())
-def _composed(texts: pd.Series) -> pd.Series:
+def composed_form(texts: pd.Series) -> pd.Series:
+    """Texts in normal form C."""
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
 @F.arrow_udf(T.StringType())
-def _form(texts: pa.Array) -> pa.Array:
+def normal_form(texts: pa.Array) -> pa.Array:
+    """Null for a text in normal form C; else the first of NFD, NFKC, NFKD that holds, or ``none``."""
     def form(text: str | None) -> str | None:
         held = [f for f in ("NFC", "NFD", "NFKC", "NFKD") if text is None or unicodedata.is_normalized(f, text)]
         return None if "NFC" in held else (held or ["none"])[0]
@@ -34,9 +36,9 @@ def _odd(text: Column) -> Column:
 
 def nfc(text: Column) -> Column:
     """The text in normal form C."""
-    return F.coalesce(_composed(_odd(text)), text)
+    return F.coalesce(composed_form(_odd(text)), text)
 
 
 def other_form(text: Column) -> Column:
     """Null if the text is in normal form C; else the first of NFD, NFKC, NFKD that holds, or ``none``."""
-    return _form(_odd(text))
+    return normal_form(_odd(text))

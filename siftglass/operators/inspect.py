@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import Protocol, runtime_checkable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,20 +35,50 @@ NOTE_EMBEDDED = (
 )
 
 
-def with_findings(artifacts: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of each artifact with ``kind, textual, findings`` and ``statuses`` of its container (or null).
+@runtime_checkable
+class Detector(Protocol):
+    """A detector of one's own: expressions over the columns of an artifact, evaluated in the same pass as all others."""
+
+    name: str
+
+    def applies(self) -> Column:
+        """Whether it runs on an artifact; null means no."""
+
+    def findings(self) -> Column:
+        """An array of findings (``text_findings.finding``); null means none."""
+
+
+def with_findings(artifacts: DataFrame, keep: list[str], extra: Sequence[Detector] = ()) -> DataFrame:
+    """The columns ``keep`` of each artifact with ``kind, textual, findings``, ``statuses`` of its container (or null) and
+    ``extra_statuses`` of the detectors ``extra``.
 
     One row and one pass for each artifact, whatever its id: nothing is joined, and bytes and texts end here.
     """
-    box = artifacts.select(*keep, *[c for c in ("kind", "text") if c not in keep], detected().alias("_box"))
+    none = F.array().cast(EMPTY_FINDINGS)
+    own = [F.when(d.applies(), d.findings()).cast(EMPTY_FINDINGS) for d in extra]
+    more = F.concat(none, *[F.coalesce(F.array_compact(c), none) for c in own])
+    box = artifacts.select(
+        *keep,
+        *[c for c in ("kind", "text") if c not in keep],
+        detected().alias("_box"),
+        more.alias("_more"),
+        F.array(*[_status(d.name, F.coalesce(d.applies(), F.lit(False)), F.col("kind")) for d in extra]).cast(T.ArrayType(STATUS)).alias("_ran"),
+    )
     found = with_text_findings(box, "_own")
-    every = F.concat("_own", F.coalesce(F.col("_box.findings"), F.array().cast(EMPTY_FINDINGS)))
-    return found.select(*keep, *[c for c in ("kind",) if c not in keep], F.col("text").isNotNull().alias("textual"), every.alias("findings"), F.col("_box.statuses").alias("statuses"))
+    every = F.concat("_own", F.coalesce(F.col("_box.findings"), none), "_more")
+    return found.select(
+        *keep,
+        *[c for c in ("kind",) if c not in keep],
+        F.col("text").isNotNull().alias("textual"),
+        every.alias("findings"),
+        F.col("_box.statuses").alias("statuses"),
+        F.col("_ran").alias("extra_statuses"),
+    )
 
 
-def findings(artifacts: DataFrame) -> DataFrame:
+def findings(artifacts: DataFrame, extra: Sequence[Detector] = ()) -> DataFrame:
     """All findings, one row each."""
-    found = with_findings(artifacts, ["artifact_id"])
+    found = with_findings(artifacts, ["artifact_id"], extra)
     return found.select("artifact_id", F.explode("findings").alias("f")).select("artifact_id", "f.*")
 
 
@@ -63,15 +96,15 @@ def at_least(found: DataFrame, severity: str) -> DataFrame:
     return found.where(severity_rank(F.col("severity")) >= SEVERITIES[severity])
 
 
-def inspectors(kind: Column, textual: Column, states: Column) -> Column:
-    """How each detector fared with an artifact, in their order."""
+def _status(name: str, applies: Column, kind: Column) -> Column:
     because = F.concat(F.lit("not applicable to a "), kind, F.lit(" artifact"))
+    return F.struct(F.lit(name).alias("name"), applies.alias("ran"), F.when(~applies, because).alias("reason"))
 
-    def status(name: str, applies: Column) -> Column:
-        return F.struct(F.lit(name).alias("name"), applies.alias("ran"), F.when(~applies, because).alias("reason"))
 
-    own = F.array(status("unicode", textual), status("text_markers", textual & (kind != "source_code")))
-    absent = F.array(*[status(n, F.lit(False)) for n in DETECTORS])
+def inspectors(kind: Column, textual: Column, states: Column) -> Column:
+    """How each detector fared with an artifact, in their order."""
+    own = F.array(_status("unicode", textual, kind), _status("text_markers", textual & (kind != "source_code"), kind))
+    absent = F.array(*[_status(n, F.lit(False), kind) for n in DETECTORS])
     return F.concat(own.cast(T.ArrayType(STATUS)), F.coalesce(states, absent.cast(T.ArrayType(STATUS))))
 
 

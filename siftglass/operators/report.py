@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftglass.functions.cleaning import OPERATIONS, PROFILES
-from siftglass.operators.inspect import SEVERITIES, inspectors, severity_rank, with_findings, with_provenance
+from siftglass.operators.inspect import SEVERITIES, Detector, inspectors, severity_rank, with_findings, with_provenance
 from siftglass.operators.transform import Options, route, transform_containers, transform_text
 
 SCHEMA_VERSION = "1.0"
@@ -21,17 +22,17 @@ DISCLAIMER = (
 )
 
 
-def analyze(artifacts: DataFrame, options: Options | None = None) -> DataFrame:
+def analyze(artifacts: DataFrame, options: Options | None = None, extra: Sequence[Detector] = ()) -> DataFrame:
     """One row per artifact: its reference, findings, detectors, provenance and, with options, transformation.
 
-    Each row is worked on by itself, so rows that share an id are artifacts of their own.
+    Detectors ``extra`` run beside the others and are told of after them. Each row is worked on by itself, so rows that share an id are artifacts of their own.
     """
     columns = [c for c in artifacts.columns if c not in ("data", "text")]
 
     def told(part: DataFrame, keep: list[str]) -> tuple[DataFrame, list[Column | str]]:
-        out = with_provenance(with_findings(part, [*columns, *keep]))
+        out = with_provenance(with_findings(part, [*columns, *keep], extra))
         order = F.array_sort(F.transform("findings", lambda f: F.struct(f["detector"], f["category"], f.alias("f"))))
-        out = out.withColumn("findings", F.transform(order, lambda x: x["f"])).withColumn("inspectors", inspectors(F.col("kind"), F.col("textual"), F.col("statuses")))
+        out = out.withColumn("findings", F.transform(order, lambda x: x["f"])).withColumn("inspectors", F.concat(inspectors(F.col("kind"), F.col("textual"), F.col("statuses")), "extra_statuses"))
         return out, [*columns, "findings", "known_signals", "unknown_signals", "confidence", "notes", "inspectors", F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(TOOL_VERSION).alias("tool_version")]
 
     if options is None:

@@ -74,7 +74,8 @@ def location(text: Column, offset: Column, length: Column, excerpt: Column) -> C
     )
 
 
-def _finding(detector: str, category: str, severity: Column | str, summary: Column | str, count: Column, locations: Column | None = None, details: Column | None = None, removable_by: list[str] | None = None, evidence_class: str = "embedded_metadata") -> Column:
+def finding(detector: str, category: str, severity: Column | str, summary: Column | str, count: Column, locations: Column | None = None, details: Column | None = None, removable_by: list[str] | None = None, evidence_class: str = "embedded_metadata") -> Column:
+    """One finding; ``details`` is JSON."""
     as_column = lambda x: F.lit(x) if isinstance(x, str) else x
     return F.struct(
         F.lit(detector).alias("detector"),
@@ -156,7 +157,7 @@ def _bucket(category: str) -> Column:
         parts.append(F.nullif(tag_payload(hits), F.lit("")).alias("decoded_ascii_payload"))
     level = F.when(F.col("kind") == "source_code", "warning").otherwise(severity) if category == "bidi_control" else F.lit(severity)
     summary = F.concat(n.cast("string"), F.lit(f" {category.replace('_', ' ')} character(s) present"))
-    return F.when(n > 0, _finding("unicode", category, level, summary, n, locations, F.to_json(F.struct(*parts)), [operation]))
+    return F.when(n > 0, finding("unicode", category, level, summary, n, locations, F.to_json(F.struct(*parts)), [operation]))
 
 
 def line_ending_counts(text: Column) -> tuple[Column, Column, Column]:
@@ -202,7 +203,7 @@ def _comment_finding() -> Column:
     locations = F.transform(placed, lambda x: location(text, x["p"], F.length(x["b"]) + 7, excerpt(x["b"])))
     n = F.size(bodies)
     summary = F.concat(n.cast("string"), F.lit(" HTML/XML comment(s) present (not rendered, but present in the source)"))
-    return F.when((F.col("kind") != "source_code") & (n > 0), _finding("text_markers", "markup_comment", "info", summary, n, locations))
+    return F.when((F.col("kind") != "source_code") & (n > 0), finding("text_markers", "markup_comment", "info", summary, n, locations))
 
 
 def with_text_findings(df: DataFrame, out: str) -> DataFrame:
@@ -232,19 +233,19 @@ def with_text_findings(df: DataFrame, out: str) -> DataFrame:
         *[_bucket(c) for c in BUCKETS],
         F.when(
             F.startswith(text, F.lit(C.BOM)),
-            _finding("unicode", "byte_order_mark", "notice", "File begins with a UTF-8 byte order mark", one, bom_place, None, ["strip_bom"]),
+            finding("unicode", "byte_order_mark", "notice", "File begins with a UTF-8 byte order mark", one, bom_place, None, ["strip_bom"]),
         ),
         F.when(
             F.col("form").isNotNull(),
-            _finding("unicode", "unicode_normalization", "info", "Text is not in Unicode NFC normalization form", one, None, F.to_json(F.struct(F.col("form").alias("current_form"))), ["normalize_nfc"]),
+            finding("unicode", "unicode_normalization", "info", "Text is not in Unicode NFC normalization form", one, None, F.to_json(F.struct(F.col("form").alias("current_form"))), ["normalize_nfc"]),
         ),
         F.when(
             styles > 1,
-            _finding("unicode", "mixed_line_endings", "notice", "File mixes line ending styles", one, None, F.to_json(F.struct("crlf", "lf", "cr")), ["normalize_line_endings"]),
+            finding("unicode", "mixed_line_endings", "notice", "File mixes line ending styles", one, None, F.to_json(F.struct("crlf", "lf", "cr")), ["normalize_line_endings"]),
         ),
         F.when(
             F.size(mixed) > 0,
-            _finding(
+            finding(
                 "unicode",
                 "mixed_script_word",
                 "warning",

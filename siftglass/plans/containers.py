@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from siftglass.functions import office
 from siftglass.functions.barrier import settled
+from siftglass.functions.extension import listed
 from siftglass.operators import artifacts as A
 from siftglass.operators.file_findings import inspected_containers
 from siftglass.operators.inspect import statuses
@@ -119,6 +120,37 @@ def png_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _transformed(_files(spark, sf_dir, R.png)).drop("output", "rejected_reason")
 
 
+_IDAT = " ".join(f"WHEN {k} THEN {len(R.pixel_payload(k))}" for k in range(R.PIXELS))
+
+
+def _parts_sql(head: str, table: str, column: str, parts: list[tuple[str, str, str]]) -> str:
+    """The parts of each file in order; one stands in a file if its condition holds."""
+    rows = " UNION ALL ".join(f"SELECT doc_id, {k} AS place, {name} AS {column}, ({size})::BIGINT AS size FROM {table} WHERE {holds}" for k, (name, size, holds) in enumerate(parts))
+    return f"{head}, c AS ({rows}) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1)::INT AS ordinal, {column}, size FROM c"
+
+
+@_query(
+    "png_chunk_list",
+    _parts_sql(
+        _PNG,
+        "p",
+        "kind",
+        [
+            ("'IHDR'", "13", "NOT cut"),
+            ("'tEXt'", "12 + n", "tx"),
+            ("'zTXt'", "9 + w", "z"),
+            ("'iTXt'", "20 + w", "i"),
+            ("'caBX'", "8", "box"),
+            ("'iCCP'", "7", "icc"),
+            ("'IDAT'", f"CASE doc_id % {R.PIXELS} {_IDAT} END", "NOT cut"),
+            ("'IEND'", "0", "NOT cut"),
+        ],
+    ),
+)
+def png_chunk_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listed(_made(spark, sf_dir, R.png(F.col("text")).alias("data")), "png_chunks")
+
+
 # JPEG -----------------------------------------------------------------------------------------------------------
 
 _JPEG = f"""WITH {_D}, j AS (SELECT *, doc_id % 3 <> 1 AS ex, doc_id % 5 = 0 AS xmp, doc_id % 4 = 0 AS com, doc_id % 7 = 0 AS box, doc_id % 8 <> 3 AS scan FROM d)"""
@@ -153,6 +185,25 @@ def jpeg_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _transformed(_files(spark, sf_dir, R.jpeg)).drop("output")
 
 
+@_query(
+    "jpeg_segment_list",
+    _parts_sql(
+        f"WITH {_D}",
+        "d",
+        "marker",
+        [
+            (f"{0xE0}", "14", "true"),
+            (f"{0xE1}", "156", "doc_id % 3 <> 1"),
+            (f"{0xE1}", "29 + w", "doc_id % 5 = 0"),
+            (f"{0xFE}", "10", "doc_id % 4 = 0"),
+            (f"{0xEB}", "12", "doc_id % 7 = 0"),
+        ],
+    ),
+)
+def jpeg_segment_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listed(_made(spark, sf_dir, R.jpeg(F.col("text")).alias("data")), "jpeg_segments")
+
+
 # PDF ------------------------------------------------------------------------------------------------------------
 
 _PDF = f"""WITH {_D}, f AS (SELECT *, doc_id % 11 = 0 AS locked, doc_id % 4 <> 3 AS au, doc_id % 2 = 0 AS ti, doc_id % 3 = 0 AS cr, doc_id % 5 IN (0, 2) AS pk,
@@ -286,6 +337,15 @@ def office_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(*[c for c in done.columns if c not in ("output", "left")], "left.parts", F.sha2("left.content", 256).alias("content_sha256"), F.col("left.properties").alias("properties_left"))
 
 
+@_query(
+    "office_part_list",
+    f"""{_OFFICE}, x AS (SELECT *, '<doc>' || replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</doc>' AS body FROM o)
+SELECT doc_id, {_MAIN} AS part, strlen(body)::BIGINT AS size, sha256(body) AS sha256 FROM x""",
+)
+def office_part_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listed(_offices(spark, sf_dir).select(F.col("artifact_id").alias("doc_id"), "data"), "office_parts")
+
+
 # All kinds ------------------------------------------------------------------------------------------------------
 
 #: What a document becomes by its number: PNG, JPEG, PDF, Office file, drawing, text, other binary data.
