@@ -11,6 +11,7 @@ from siftglass.functions import charsets as C
 from siftglass.functions.cleaning import OPERATIONS, PROFILES, cleaned, with_cleaned
 from siftglass.functions.normalize import other_form
 from siftglass.functions.visible import STRUCTURE, skeleton, structure_count, without_controls, words
+from siftglass.functions.wording import CLOSE, LABELS, OPEN, SEVERITY_WORDS, TITLES, labelled, revealed, severity_words, title
 from siftglass.operators import registry
 from siftglass.operators.artifacts import artifacts_from_text
 from siftglass.operators.inspect import NOTE_EMBEDDED, NOTE_UNKNOWN, at_least, findings, provenance
@@ -206,6 +207,39 @@ def findings_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("category", "severity").agg(F.count("*").alias("artifacts"), F.sum("count").alias("hits"))
 
 
+def _revealed_sql() -> str:
+    out = "text"
+    for label, points in LABELS.items():
+        out = f"regexp_replace({out}, '[{points}]', '{OPEN}{label}{CLOSE}', 'g')"
+    return out
+
+
+@_query("revealed_text", f"WITH {_S} SELECT doc_id, sha256({_revealed_sql()}) AS revealed_sha256 FROM salted")
+def revealed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _salted(spark, sf_dir).select("doc_id", F.sha2(revealed(F.col("text")), 256).alias("revealed_sha256"))
+
+
+_LABEL_ROWS = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, len(regexp_extract_all(text, '[{points}]')) AS n FROM salted" for label, points in LABELS.items())
+
+
+@_query("hidden_labels", f"WITH {_S} SELECT doc_id, label, n::BIGINT AS n FROM ({_LABEL_ROWS}) WHERE n > 0")
+def hidden_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _salted(spark, sf_dir).select("doc_id", F.explode(labelled(F.col("text"))).alias("l")).select("doc_id", "l.*")
+
+
+def _words_sql(column: str, names: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + f" ELSE {column} END"
+
+
+@_query(
+    "findings_in_plain_words",
+    f"{_F} SELECT {_words_sql('category', TITLES)} AS title, {_words_sql('severity', SEVERITY_WORDS)} AS advice, count(*) AS artifacts FROM found GROUP BY ALL",
+)
+def findings_in_plain_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = findings(_artifacts(spark, sf_dir))
+    return found.groupBy(title(F.col("category")).alias("title"), severity_words(F.col("severity")).alias("advice")).agg(F.count("*").alias("artifacts"))
+
+
 @_query("findings_by_lang_source", f"{_F} SELECT lang, source, category, count(*) AS artifacts, sum(n)::BIGINT AS hits FROM found GROUP BY ALL")
 def findings_by_lang_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _salted(spark, sf_dir)

@@ -61,3 +61,18 @@ def test_table_functions_in_sql(spark):
     assert ask("png_chunks") == [(1, 0, "tEXt", 3), (1, 1, "IEND", 0), (7, 0, "tEXt", 3)]
     assert ask("jpeg_segments") == [(3, 0, 0xE0, 2), (3, 1, 0xFE, 3)]
     assert ask("office_parts") == []
+
+
+def test_labels_stand_where_hidden_characters_stood(spark):
+    from siftglass.functions.wording import labelled, revealed, severity_words, title
+
+    rows = [("a\u200bb\u00a0c\x07\n\t",), ("\ufeff\u200b\U000e0041\ufe0f",), ("plain",), ("",), (None,)]
+    text, name = F.col("text"), F.lit("no_such_category")
+    got = spark.createDataFrame(rows, "text string").select(revealed(text), labelled(text), title(name), severity_words(F.lit("info"))).collect()
+    assert [r[0] for r in got] == [
+        "a\u27e6ZWSP\u27e7b\u27e6NBSP\u27e7c\u27e6CTRL\u27e7\n\t", "\u27e6BOM\u27e7\u27e6ZWSP\u27e7\u27e6TAG\u27e7\u27e6VS\u27e7", "plain", "", None,
+    ]
+    assert [[tuple(x) for x in r[1]] for r in got] == [
+        [("ZWSP", 1), ("NBSP", 1), ("CTRL", 1)], [("ZWSP", 1), ("BOM", 1), ("TAG", 1), ("VS", 1)], [], [], [],
+    ]
+    assert {tuple(r[2:]) for r in got} == {("no_such_category", "Good to know")}
