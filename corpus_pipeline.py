@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftglass.llm.bpe_automaton import encode_decode
-from siftglass.llm.common import table, written
+from siftglass.llm.common import dealt, table, written
 from siftglass.llm.decontaminate import drop_contaminated
 from siftglass.llm.line_dedup import line_dedup
 from siftglass.llm.quality_rules import fit, keep_good
@@ -64,7 +64,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each keeps is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftglass.sources.salt import dealt_out
+
 #: Rows of an Arrow batch sent to Python; documents may be long, so batches are short.
 ARROW_ROWS = 1000
 
@@ -19,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts; one that comes in fewer splits than there are cores, as a single row group does, is dealt out."""
+    return dealt_out(table(spark, sf_dir, name))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftglass.llm.common import table
+from siftglass.llm.common import dealt, table
 
 
 def _tokenizer(name: str) -> str:
@@ -19,7 +19,7 @@ def _tokenizer(name: str) -> str:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftglass.llm.quality_rules import fit, quality_rules
 
-    documents = table(spark, sf_dir, "documents")
+    documents = dealt(spark, sf_dir, "documents")
     out = quality_rules(documents, fit(documents, table(spark, sf_dir, "labels")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
 
@@ -27,7 +27,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftglass.llm.line_dedup import host_of, html_lines, line_dedup
 
-    out = line_dedup(table(spark, sf_dir, "pages"), host_of(F.col("url")), html_lines(F.col("html")))
+    out = line_dedup(dealt(spark, sf_dir, "pages"), host_of(F.col("url")), html_lines(F.col("html")))
     return out.select("page_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -56,27 +56,27 @@ FROM cut
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftglass.llm.quality_knn import classify, fit
 
-    documents = table(spark, sf_dir, "documents")
+    documents = dealt(spark, sf_dir, "documents")
     return classify(documents, fit(documents, table(spark, sf_dir, "labels")))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftglass.llm.token_count import cache_of, token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), cache_of(spark, sf_dir))
+    return token_counts(dealt(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), cache_of(spark, sf_dir))
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftglass.llm.suffix_dedup import suffix_dedup
 
-    out = suffix_dedup(table(spark, sf_dir, "documents"), digest=True)
+    out = suffix_dedup(dealt(spark, sf_dir, "documents"), digest=True)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.col("kept").alias("kept_sha256"))
 
 
 def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftglass.llm.bpe_automaton import encode_decode
 
-    return encode_decode(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), digests=True)
+    return encode_decode(dealt(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), digests=True)
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftglass.llm.substring_dedup import substring_dedup
 
-    out = substring_dedup(table(spark, sf_dir, "documents"))
+    out = substring_dedup(dealt(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -133,14 +133,14 @@ def fingerprint_text(fp: str = "fp") -> Column:
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftglass.llm.simhash import simhash_components
 
-    out = simhash_components(table(spark, sf_dir, "documents"))
+    out = simhash_components(dealt(spark, sf_dir, "documents"))
     return out.select("doc_id", fingerprint_text().alias("fingerprint"), "component_id")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftglass.llm.decontaminate import decontaminate
 
-    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = decontaminate(dealt(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
         "doc_id",
         "n_words",
