@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,16 +22,16 @@ from siftglass.functions.visible import word_similarity
 PREFIX = "siftglass_"
 
 
-@F.pandas_udf(T.StringType())
-def pixel_digest(files: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def pixel_digest(files: pa.Array) -> pa.Array:
     """A digest of what an image shows, whatever its metadata."""
-    return files.map(images.pixel_digest, na_action="ignore")
+    return pa.array([None if f is None else images.pixel_digest(f) for f in files.to_pylist()], pa.string())
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def pdf_fields(files: pd.Series) -> pd.Series:
+@F.arrow_udf(T.MapType(T.StringType(), T.StringType()))
+def pdf_fields(files: pa.Array) -> pa.Array:
     """The information dictionary of a PDF."""
-    return files.map(pdfs.info_fields, na_action="ignore")
+    return pa.array([None if f is None else pdfs.info_fields(f) for f in files.to_pylist()], pa.map_(pa.string(), pa.string()))
 
 
 @F.udtf(returnType="ordinal int, kind string, size bigint", useArrow=True)
